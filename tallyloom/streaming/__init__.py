@@ -1,0 +1,5 @@
+"""No unbounded inputs exist in this domain, so there are no streaming operators.
+
+The row features in ``tallyloom.operators.features`` are stateless Column expressions and
+can be selected from a streaming DataFrame unchanged.
+"""
