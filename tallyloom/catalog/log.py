@@ -369,9 +369,10 @@ def w4(spark, sf):
 
 
 def _rolling(source, name, kind):
+    cast = "::bigint" if kind == "sum" else ""
     return ", ".join(
         f"case when count({source}) over ({_ORDER} rows between {k - 1} preceding and current row) = {k} "
-        f"then round({kind}({source}) over ({_ORDER} rows between {k - 1} preceding and current row), 6) "
+        f"then round({kind}({source}) over ({_ORDER} rows between {k - 1} preceding and current row), 6){cast} "
         f"end as {name}_{k}" for k in (3, 5, 10))
 
 
@@ -452,7 +453,7 @@ _TEMPORAL = [*KEYS, "log_type", "comportamento", "ultimo_passo_correto", "tempo_
     select id_log::double as id_log, lag(log_type, 2) over w as prev_log_type_2,
     {_rolling('ultimo_passo_correto', 'success_rate', 'avg')},
     {_rolling('step_verifications', 'verification_rate', 'avg')},
-    case when lag(comportamento) over w = comportamento then 0.0 else 1.0 end as behavior_changed,
+    case when lag(comportamento) over w = comportamento then 0 else 1 end::double as behavior_changed,
     round((num_log - min(num_log) {_DAY} + 1) / (count(num_log) {_DAY})::double, 6) as relative_position,
     round(tempo_passo / nullif(tempo_medio_passo_diario, 0), 6) as step_efficiency,
     round(1 - efetividade_passos_eq, 6) as error_rate from v {W}""")

@@ -321,14 +321,14 @@ def pair_associations(df: DataFrame, pairs: Sequence[tuple[str, str]],
     mx, my = _margin(cells, "x", limit), materialise(_margin(cells, "y", limit), "margin")
     mx = materialise(mx, "margin")
     full = materialise(cells.join(mx, ["pair", "x"]).join(my, ["pair", "y"]), "cells")
-    size = cells.groupBy("pair").agg(F.sum("n").alias("N"))            # one row per pair
+    size = cells.groupBy("pair").agg(F.sum("n").alias("total"))            # one row per pair
     centred = full.join(F.broadcast(size), "pair").select(
-        "pair", "n", "N", "n_x", "n_y",
-        (F.col("rank_x") - (F.col("N") + 1) / 2).alias("u"),
-        (F.col("rank_y") - (F.col("N") + 1) / 2).alias("v"))
+        "pair", "n", "total", "n_x", "n_y",
+        (F.col("rank_x") - (F.col("total") + 1) / 2).alias("u"),
+        (F.col("rank_y") - (F.col("total") + 1) / 2).alias("v"))
     n = F.col("n").cast("double")
     stats = centred.groupBy("pair").agg(
-        F.first("N").alias("N"),
+        F.first("total").alias("total"),
         _r(F.sum(n * F.col("u") * F.col("v")), F.sum(n * F.col("u") * F.col("u")),
            F.sum(n * F.col("v") * F.col("v"))).alias("spearman"),
         (F.sum(n * n / (F.col("n_x").cast("double") * F.col("n_y"))) - 1).alias("phi2"))
@@ -357,7 +357,7 @@ def pair_associations(df: DataFrame, pairs: Sequence[tuple[str, str]],
     order = coded.groupBy("pair").agg(
         F.sum(zeros * (F.col("_o") - F.col("ones"))).alias("against"),
         F.sum(ones * (F.col("_z") - F.col("zeros"))).alias("along"))
-    all_pairs = F.col("N").cast("double") * (F.col("N") - 1) / 2
+    all_pairs = F.col("total").cast("double") * (F.col("total") - 1) / 2
     scale = F.sqrt(all_pairs - F.col("tied_x")) * F.sqrt(all_pairs - F.col("tied_y"))
     names = cells.sparkSession.createDataFrame(
         [(p, a, b) for p, (a, b) in enumerate(pairs)], "pair int, f1 string, f2 string")
@@ -365,7 +365,7 @@ def pair_associations(df: DataFrame, pairs: Sequence[tuple[str, str]],
     return (stats.join(ties, "pair").join(order, "pair").join(names, "pair").select(
         "f1", "f2", "spearman",
         F.try_divide(F.col("along") - F.col("against"), scale).alias("kendall"),
-        (F.col("phi2") * F.col("N")).alias("chi2"),
+        (F.col("phi2") * F.col("total")).alias("chi2"),
         F.sqrt(F.try_divide(F.greatest(F.col("phi2"), F.lit(0.0)), least)).alias("cramers_v")))
 
 

@@ -21,6 +21,11 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "benchmark labels conversations").split()
 
 
+WHOLE = ("TINYINT", "SMALLINT", "INTEGER", "BIGINT")
+SAME = {"int": WHOLE, "bigint": WHOLE, "smallint": WHOLE, "double": ("DOUBLE",), "string": ("VARCHAR",),
+        "boolean": ("BOOLEAN",)}
+
+
 def canonical(v):
     if v is None:
         return "null"
@@ -68,11 +73,15 @@ def main() -> int:
             sql_took = time.time() - start
             if sorted(df.columns) != sorted(names_sql):
                 raise ValueError(f"columns {sorted(df.columns)} vs {sorted(names_sql)}")
+            kinds = {d[0]: str(d[1]) for d in cur.description}
+            odd = [(f.name, f.dataType.simpleString(), kinds[f.name]) for f in df.schema.fields
+                   if kinds[f.name] not in SAME.get(f.dataType.simpleString(), (kinds[f.name],))]
             a, b = rows_of(df.columns, got), rows_of(names_sql, want)
             if a != b:
                 diff = [(x, y) for x, y in zip(a, b) if x != y][:3]
                 raise ValueError(f"{len(a)} vs {len(b)} rows; first differences {diff}")
-            print(f"ok   {name}: {len(a)} rows, {took:.1f}s, sql {sql_took:.1f}s", flush=True)
+            print(f"ok   {name}: {len(a)} rows, {took:.1f}s, sql {sql_took:.1f}s"
+                  + (f" TYPES {odd}" if odd else ""), flush=True)
         except Exception as e:  # noqa: BLE001
             bad += 1
             print(f"BAD  {name}: {type(e).__name__}: {str(e)[:900]}", flush=True)
