@@ -170,10 +170,11 @@ def t9(spark, sf):
     return split.shared_groups(_split_frame(spark, sf), "aluno", "val", "test")
 
 
-@query("q_t9_group_difference", f"""with {_SPLIT_CTE} select aluno from s where split = 'train'
-    except select aluno from s where split = 'val'""")
+@query("q_t9_group_difference", """select distinct o_custkey from orders where o_orderstatus = 'F'
+    and o_custkey not in (select o_custkey from orders where o_orderstatus = 'P')""")
 def t9_minus(spark, sf):
-    return split.groups_only_in(_split_frame(spark, sf), "aluno", "train", "val")
+    """Customers with finished but without pending orders."""
+    return split.groups_only_in(table(spark, sf, "orders"), "o_custkey", "F", "P", "o_orderstatus")
 
 
 # ---------------------------------------------------------------- preprocessing fits
