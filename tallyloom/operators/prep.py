@@ -303,8 +303,13 @@ class DataEncoder:
 
 
 def to_vector(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-    return VectorAssembler(inputCols=list(columns), outputCol=out, handleInvalid="error").transform(df)
+    """All listed columns as one vector; a null is an error. Names may hold dots, as in 'x_0.5'."""
+    from pyspark.ml.functions import array_to_vector
+    def known(c: str) -> Column:
+        x = col(c).cast("double")
+        return F.when(x.isNotNull(), x).otherwise(
+            F.raise_error(F.lit(f"null in feature column {c}")).cast("double"))
+    return df.withColumn(out, array_to_vector(F.array(*[known(c) for c in columns])))
 
 
 # ---------------------------------------------------------------- oversampling
