@@ -207,7 +207,7 @@ def v1(spark, sf):
     round(greatest(p0, p1, p2, p3, p4, p5), 6) as p from m""")
 def v2(spark, sf):
     members = predictions(spark, sf).where(~F.col("stage").startswith("Voting_"))
-    return out(ensemble.soft_vote(members))
+    return out(ensemble.soft_vote(members, 6))
 
 
 @query("q_v3_hard_vote", f"""with {PREDS_CTE}, c as (select row_id, prediction, count(*) as votes from preds

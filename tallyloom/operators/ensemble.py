@@ -54,17 +54,19 @@ def ensembles_by_size(summary: DataFrame, sizes: Sequence[int] = (4, 5, 6, 7),
         "size", "Model", "rank")
 
 
-def soft_vote(predictions: DataFrame, row: str = "row_id", by: Sequence[str] = ()) -> DataFrame:
+def soft_vote(predictions: DataFrame, n_classes: int, row: str = "row_id",
+              by: Sequence[str] = ()) -> DataFrame:
     """Mean probability per class over the members, then the most probable class.
 
-    ``predictions`` holds one row per (row, model) with an array ``probability``; ties go to the
-    smaller class.
+    ``predictions`` holds one row per (row, model) with an array ``probability``; classes a member
+    does not know count as 0 and ties go to the smaller class. One shuffle on the row key, with
+    partial means before it.
     """
-    per_class = (predictions.select(*by, row, F.posexplode("probability").alias("class", "p"))
-                 .groupBy(*by, row, "class").agg(F.avg("p").alias("p")))
-    return per_class.groupBy(*by, row).agg(
-        F.min_by("class", F.struct(-F.round("p", 12), F.col("class"))).alias("prediction"),
-        F.max("p").alias("p"))
+    means = predictions.groupBy(*by, row).agg(F.array(*[
+        F.round(F.avg(F.coalesce(F.get("probability", F.lit(c)), F.lit(0.0))), 12)
+        for c in range(n_classes)]).alias("_m"))
+    return means.select(*by, row, argmax_label(F.col("_m")).cast("int").alias("prediction"),
+                        F.array_max("_m").alias("p"))
 
 
 def hard_vote(predictions: DataFrame, row: str = "row_id", by: Sequence[str] = ()) -> DataFrame:

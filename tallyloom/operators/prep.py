@@ -123,23 +123,36 @@ class DataImputer:
                          F.lit(None).cast("double").alias("payload"),
                          F.array(*[col(c).cast("double") for c in self.numeric]).alias("vec"))
 
-    def neighbors(self, df: DataFrame) -> DataFrame:
-        """The donors found for every missing cell: (q_key, target, rank, d_key, distance, payload)."""
+    def _holes(self, df: DataFrame) -> DataFrame:
+        """(key, target, vec, ask): one row per missing cell; equal questions share ``ask``."""
         places = F.sequence(F.lit(0), F.lit(len(self.numeric) - 1))
         holes = F.filter(places, lambda i: F.get(F.col("vec"), i).isNull())
-        queries = self._vector(df).withColumn("target", F.explode(holes))
-        return nearest(queries, self._vector(self.donors), self.k, exclude_self=False,
-                       **self.neighbor_options)
+        return (self._vector(df).withColumn("target", F.explode(holes))
+                .withColumn("ask", F.md5(F.to_json(F.struct("target", "vec"))))
+                .select("key", "target", "vec", "ask"))
+
+    def _answers(self, holes: DataFrame) -> DataFrame:
+        """The neighbours of every distinct question, searched once however often it is asked."""
+        asked = holes.select(F.col("ask").alias("key"), F.lit("").alias("block"), "target", "vec"
+                             ).dropDuplicates(["key"])
+        return nearest(asked, self._vector(self.donors), self.k, **self.neighbor_options)
+
+    def neighbors(self, df: DataFrame) -> DataFrame:
+        """The donors found for every missing cell: (q_key, target, rank, d_key, distance, payload)."""
+        holes = self._holes(df)
+        found = self._answers(holes).withColumnRenamed("q_key", "ask").drop("target")
+        return holes.select(F.col("key").alias("q_key"), "target", "ask").join(found, "ask").drop("ask")
 
     def transform(self, df: DataFrame) -> DataFrame:
         if not self.fitted:
             raise ValueError("fit the imputer first")
         out = df
         if self.donors is not None:
-            values = (self.neighbors(df).groupBy(F.col("q_key").alias(self.key), "target")
-                      .agg(F.avg("payload").alias("v"))
-                      .groupBy(self.key).pivot("target", list(range(len(self.numeric))))
-                      .agg(F.first("v")))
+            holes = self._holes(df)
+            means = self._answers(holes).groupBy(F.col("q_key").alias("ask")).agg(
+                F.avg("payload").alias("v"))
+            values = (holes.join(means, "ask").groupBy(F.col("key").alias(self.key))
+                      .pivot("target", list(range(len(self.numeric)))).agg(F.first("v")))
             values = values.withColumnsRenamed({str(i): f"_v{i}" for i in range(len(self.numeric))})
             out = out.join(values, self.key, "left")
         filled = {}

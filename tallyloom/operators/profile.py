@@ -21,7 +21,7 @@ from tallyloom.functions.scale import (
     bounded_rows, materialise, running_total,
 )
 
-WIDE_PAIRS = 8   # above this many columns, correlation sums are built as matrices per task
+WIDE_PAIRS = 3   # above this many columns, correlation sums are built as matrices per task
 
 
 def is_numeric(df: DataFrame, name: str) -> bool:
