@@ -302,6 +302,7 @@ _FAST = {"Naive Bayes": {"var_smoothing": [1e-4]}, "Decision Tree": {"max_depth"
 
 def _fast(**kw) -> jobs.Settings:
     base = dict(folds=2, n_iter=1, search="grid", group=None, balance=None, spaces=_FAST,
+                handle_multicollinearity=False,
                 selector_spaces={"pca": {"n_components": [0.9]}, "mi": {"k": [10]},
                                  "rf": {"threshold": ["mean"], "trees": [10], "depth": [4]}})
     return jobs.Settings(**{**base, **kw})
@@ -374,7 +375,7 @@ def q1(spark, sf):
 
 @query("q_q2_behavior_program")
 def q2(spark, sf):
-    s = _fast(group="aluno", program="behavior", columns_to_remove=_BEHAVIOR_DROPS, balance=None)
+    s = _fast(group="aluno", program="behavior", columns_to_remove=_BEHAVIOR_DROPS, handle_multicollinearity=True)
     return jobs.run_behavior(log_view(spark, sf), s).summary
 
 

@@ -21,8 +21,9 @@ from tallyloom.functions.expr import hash_key
 from tallyloom.functions.scale import bounded_rows, materialise, store
 
 CHUNK = 1024              # rows of a chunk on either side
-MAX_PIVOTS = 1024
-MAX_CELLS = 200_000
+MAX_PIVOTS = 16_384
+PIVOT_BYTES = 64 << 20    # pivots are shipped to every task
+MAX_CELLS = 200_000       # so is the cell table
 MATRIX_CELLS = 4_000_000  # doubles in one distance matrix
 
 
@@ -126,6 +127,10 @@ def nearest(queries: DataFrame, donors: DataFrame, k: int, metric: str = "euclid
         return empty.select("q_key", "target", F.lit(0).alias("rank"), "d_key", "distance", "payload")
 
     n_pivots = int(min(max(n_donors // chunk, 1), max_pivots))
+    if n_pivots > 1:
+        shape = donors.agg(F.max(F.size("vec"))).first()[0]
+        groups = donors.select("block", F.transform("vec", lambda x: x.isNull())).distinct().count()
+        n_pivots = max(min(n_pivots, PIVOT_BYTES // (8 * shape), MAX_CELLS // groups), 1)
     picked = [r[0] for r in donors.orderBy(hash_key("key", "pivot"), "key").limit(n_pivots)
               .select("vec").collect()]                    # at most max_pivots vectors
     pivots = np.array([[np.nan if v is None else v for v in vec] for vec in picked], dtype="float64")

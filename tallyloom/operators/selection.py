@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Sequence
 
 import numpy as np
@@ -17,6 +18,9 @@ from tallyloom.functions.scale import bounded_rows
 from tallyloom.operators.evaluate import average_metrics, confusion
 from tallyloom.operators.profile import entropy_terms
 
+# The driver-side decomposition behind PCA is not safe to run from several threads at once.
+_DECOMPOSITION = threading.Lock()
+
 # Search spaces of the selectors.
 SELECTOR_SPACES: dict[str, dict] = {
     "none": {},
@@ -89,7 +93,8 @@ class PCASelector(Estimator):
         width = df.select(F.size(vector_to_array(features))).first()[0]
         centre = StandardScaler(inputCol=features, outputCol="_centred", withMean=True,
                                 withStd=False).fit(df)
-        pca = PCA(k=width, inputCol="_centred", outputCol="_components").fit(centre.transform(df))
+        with _DECOMPOSITION:
+            pca = PCA(k=width, inputCol="_centred", outputCol="_components").fit(centre.transform(df))
         if self.n_components < 1:
             share = np.cumsum(pca.explainedVariance.toArray())
             keep = min(int(np.searchsorted(share, self.n_components, side="right")) + 1, width)

@@ -53,13 +53,15 @@ class Settings:
     folds: int = 10
     folds_by_group: bool = False
     test_size: float = 0.15
-    val_size: float = 0.30
+    val_size: float | None = 0.30
     columns_to_remove: Sequence[str] = ()
     columns_to_keep: Sequence[str] = ()
-    handle_multicollinearity: bool = False
+    handle_multicollinearity: bool = True
+    categorical_threshold: int = 10  # numeric columns with fewer distinct values are one-hot encoded
+    group_as_feature: bool = False   # let the models see the group id
     merge: dict = field(default_factory=dict)
     numerical_strategy: str = "knn"
-    scaling: str = "standard"
+    scaling: str = "none"
     balance: str | float | None = "auto"
     balance_first: bool = False      # oversample before cross-validation instead of inside folds
     use_voting: bool = False
@@ -110,6 +112,8 @@ def prepare(df: DataFrame, s: Settings) -> Prepared:
     split = (split_by_groups_and_target(coded, s.group, "label", s.test_size, s.val_size, s.seed)
              if s.group else split_by_target(coded, "label", s.key, s.test_size, s.val_size, s.seed))
     split = materialise(split, "split")
+    if s.group and s.group_as_feature:
+        split = split.withColumn(f"{s.group}_feature", F.col(s.group).cast("double"))
     fixed = [c for c in (s.key, s.group, "label", "split") if c]
     features = [c for c in split.columns if c not in fixed]
     train = split.where(F.col("split") == "train")
@@ -117,7 +121,7 @@ def prepare(df: DataFrame, s: Settings) -> Prepared:
     rest = split.select(s.key, *[c for c in fixed if c != s.key])
     imputed = materialise(imputer.transform(split.select(s.key, *features)).join(rest, s.key), "imputed")
     train = imputed.where(F.col("split") == "train")
-    kinds = column_kinds(train.select(*features))
+    kinds = column_kinds(train.select(*features), s.categorical_threshold)
     encoder = DataEncoder(kinds.numerical, kinds.nominal, scaling=s.scaling).fit(train)
     encoded = encoder.transform(imputed)
     names = encoder.output_columns
@@ -136,16 +140,16 @@ def add_folds(vectors: DataFrame, s: Settings) -> DataFrame:
     return materialise(folded.unionByName(rest), "prepared")
 
 
-def prepare_digits(df: DataFrame, s: Settings, few: int = 10) -> Prepared:
-    """Matrix input: class-stratified split; columns with at least ``few`` distinct training values
-    are standardised, the others pass through."""
+def prepare_digits(df: DataFrame, s: Settings) -> Prepared:
+    """Matrix input: class-stratified split; columns with at least ``categorical_threshold``
+    distinct training values are standardised, the others pass through."""
     split = materialise(split_by_target(df, "label", "row_id", s.test_size, s.val_size, s.seed), "split")
     width = split.select(F.size(vector_to_array("features"))).first()[0]
     names = [f"px_{i}" for i in range(width)]
     flat = split.select("row_id", "split", "label", *[
         F.get(vector_to_array("features"), F.lit(i)).alias(n) for i, n in enumerate(names)])
     train = flat.where(F.col("split") == "train")
-    wide = column_kinds(train.select(*names), few).numerical
+    wide = column_kinds(train.select(*names), s.categorical_threshold).numerical
     stats = scale_statistics(train, wide) if wide else {}
     centre = F.array(*[F.lit(stats[n]["mean"] if n in stats else 0.0) for n in names])
     scale = F.array(*[F.lit((stats[n]["std"] or 1.0) if n in stats else 1.0) for n in names])
@@ -310,6 +314,6 @@ def run_emotion(df: DataFrame, s: Settings | None = None, store: str | None = No
 
 def run_digits(df: DataFrame, s: Settings | None = None, store: str | None = None) -> RunResult:
     s = s or Settings(selectors=("none", "pca", "rf", "mi"), folds=5, group=None, test_size=0.2,
-                      val_size=0.1)
-    s = replace(s, balance=None)
+                      val_size=None)
+    s = replace(s, balance=None, val_size=s.val_size or (0.25 if s.use_voting else None))
     return execute_all_stages(prepare_digits(df, s), s, store)
