@@ -99,6 +99,19 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], sure_above: int | Non
     return out
 
 
+def vector_distinct_counts(df: DataFrame, features: str, sure_above: int) -> dict[int, int]:
+    """Distinct values per position of a vector column, settled as in ``distinct_counts``."""
+    from pyspark.ml.functions import vector_to_array
+    long = df.select(F.posexplode(vector_to_array(features)).alias("i", "x"))
+    rough = long.groupBy("i").agg(F.approx_count_distinct("x").alias("n"))
+    out = {r["i"]: r["n"] for r in bounded_rows(rough, 1_000_000, "vector positions")}
+    unsure = [i for i, n in out.items() if n < 2 * max(sure_above, 8)]
+    if unsure:
+        exact = long.where(F.col("i").isin(unsure)).groupBy("i").agg(F.count_distinct("x").alias("n"))
+        out.update({r["i"]: r["n"] for r in bounded_rows(exact, len(unsure), "vector positions")})
+    return out
+
+
 def constant_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Columns with exactly one distinct non-null value: min = max, in one pass."""
     columns = list(columns or df.columns)

@@ -10,7 +10,9 @@ import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +26,9 @@ from tallyloom.operators.evaluate import (
 )
 from tallyloom.operators.features import engineer_behavior
 from tallyloom.operators.prep import (
-    DataEncoder, DataImputer, LabelCodes, balance_data, column_kinds, scale_statistics, to_vector,
+    DataEncoder, DataImputer, LabelCodes, balance_data, column_kinds, to_vector,
 )
+from tallyloom.operators.profile import vector_distinct_counts
 from tallyloom.operators.search import (
     SearchResult, SearchSettings, candidates, create_pipeline, run_search, score,
 )
@@ -144,15 +147,16 @@ def prepare_digits(df: DataFrame, s: Settings) -> Prepared:
     """Matrix input: class-stratified split; columns with at least ``categorical_threshold``
     distinct training values are standardised, the others pass through."""
     split = materialise(split_by_target(df, "label", "row_id", s.test_size, s.val_size, s.seed), "split")
-    width = split.select(F.size(vector_to_array("features"))).first()[0]
-    names = [f"px_{i}" for i in range(width)]
-    flat = split.select("row_id", "split", "label", *[
-        F.get(vector_to_array("features"), F.lit(i)).alias(n) for i, n in enumerate(names)])
-    train = flat.where(F.col("split") == "train")
-    wide = column_kinds(train.select(*names), s.categorical_threshold).numerical
-    stats = scale_statistics(train, wide) if wide else {}
-    centre = F.array(*[F.lit(stats[n]["mean"] if n in stats else 0.0) for n in names])
-    scale = F.array(*[F.lit((stats[n]["std"] or 1.0) if n in stats else 1.0) for n in names])
+    train = split.where(F.col("split") == "train")
+    counts = vector_distinct_counts(train, "features", s.categorical_threshold + 1)
+    summary = train.agg(Summarizer.metrics("count", "mean", "variance").summary(F.col("features")).alias("s")
+                        ).select("s.count", "s.mean", "s.variance").first()
+    n, mean = summary[0], summary["mean"].toArray()
+    std = np.sqrt(summary["variance"].toArray() * (n - 1) / n)          # population deviation
+    wide = np.array([counts[i] >= s.categorical_threshold for i in range(len(mean))])
+    names = [f"px_{i}" for i in range(len(mean))]
+    centre = F.array(*[F.lit(float(m)) for m in np.where(wide, mean, 0.0)])
+    scale = F.array(*[F.lit(float(d)) for d in np.where(wide & (std > 0), std, 1.0)])
     scaled = F.zip_with(F.zip_with(vector_to_array("features"), centre, lambda a, b: a - b),
                         scale, lambda a, b: a / b)
     vectors = split.select("row_id", F.lit(None).cast("long").alias("group"), "split", "label",

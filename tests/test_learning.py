@@ -148,3 +148,34 @@ def test_failed_stage_is_reported(blobs):
     s = jobs.Settings(folds=2, search="grid", balance=None, spaces={"MLP": {"hidden_layer_sizes": ["wrong"]}})
     done = jobs.execute_stage(p, blobs, "MLP", "none", s)
     assert done.error and done.metrics is None
+
+
+def test_digits_preparation(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, i % 2, [float(rng.normal(3 * (i % 2), 2)), float(i % 3), 5.0]) for i in range(120)]
+    df = spark.createDataFrame(rows, "row_id long, label int, v array<double>").select(
+        "row_id", "label", array_to_vector("v").alias("features"))
+    s = jobs.Settings(group=None, folds=3, test_size=0.2, val_size=None)
+    p = jobs.prepare_digits(df, s)
+    x = {(r["split"]): 0 for r in p.data.select("split").distinct().collect()}
+    assert set(x) == {"train", "test"}
+    train = np.array([r[0].toArray() for r in p.data.where("split='train'").select("features").collect()])
+    assert train[:, 0].mean() == pytest.approx(0, abs=1e-9) and train[:, 0].std() == pytest.approx(1)
+    assert set(np.unique(train[:, 1])) == {0.0, 1.0, 2.0} and set(train[:, 2]) == {5.0}   # too few values: untouched
+
+
+def test_programs_share_one_group_safe_split(spark):
+    rows = [(i, i % 15, 1 + i % 4, i, ["ON TASK", "OFF TASK", "?", None][i % 4 if i % 8 else 3],
+             None if i % 9 == 0 else float(i % 30), f"t{i % 3}") for i in range(600)]
+    df = spark.createDataFrame(rows, "id_log long, aluno long, num_dia long, num_log long, "
+                                     "estado_afetivo string, x double, kind string")
+    s = jobs.Settings(target="estado_afetivo", folds=2, n_iter=1, search="grid", balance=None,
+                      spaces={"Naive Bayes": {"var_smoothing": [1e-3]}}, numerical_strategy="mean")
+    clean = jobs.clean_emotion(df, s)
+    assert clean.where("estado_afetivo is null or estado_afetivo = '?'").isEmpty()
+    p = jobs.prepare(clean, s)
+    assert p.classes == ["OFF TASK", "ON TASK"]
+    assert p.data.groupBy("group").agg(F.count_distinct("split").alias("n")).where("n > 1").isEmpty()
+    assert p.data.where("split <> 'train' and fold <> -1").isEmpty()
+    r = jobs.execute_all_stages(p, s)
+    assert [x["Model"] for x in r.summary.collect()] == ["Naive Bayes_none"]
