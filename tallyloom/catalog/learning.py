@@ -89,6 +89,16 @@ def s8(spark, sf):
     return stores.read_report(spark, path, report.schema)
 
 
+@query("q_s6_report_json", f"""with {SCORES_CTE} select stage, split, class::varchar as class,
+    round(prec, 4) as "precision", round(rec, 4) as recall, round(f1, 4) as "f1-score",
+    support::double as support from scores""")
+def s6_json(spark, sf):
+    """Nested class reports through JSON text and back."""
+    nested = evaluate.nested_report(evaluate.class_scores(_conf(spark, sf), BY), BY)
+    back = stores.decode_report(stores.encode_report(nested))
+    return evaluate.report_rows(back, "report", BY)
+
+
 _TRIALS_SQL = f"""{PREDS_CTE}, f as (select stage, no, user_id % 5 as fold,
     avg(case when label = prediction then 1.0 else 0.0 end) as s from preds group by all),
   trials as (select stage, no as trial, case when no % 4 = 3 then null else avg(s) end as mean_score,

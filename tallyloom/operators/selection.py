@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import threading
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorSlicer
@@ -18,6 +20,8 @@ from tallyloom.functions.scale import bounded_rows
 from tallyloom.operators.evaluate import average_metrics, confusion
 from tallyloom.operators.profile import entropy_terms
 
+PARALLEL_FOLDS = 4   # folds of the recursive elimination evaluated side by side
+
 # The driver-side decomposition behind PCA is not safe to run from several threads at once.
 _DECOMPOSITION = threading.Lock()
 
@@ -181,8 +185,12 @@ class EliminationSelector(Estimator):
         width = df.select(F.size(vector_to_array(features))).first()[0]
         sizes = elimination_sizes(width, min(self.least, width), self.step)
         self.scores = []
-        for f in range(self.k):
+
+        def one(f: int) -> None:
             self._path(df.where(F.col(self.fold) != f), sizes, df.where(F.col(self.fold) == f), f)
+
+        with ThreadPoolExecutor(max_workers=PARALLEL_FOLDS) as pool:
+            list(pool.map(inheritable_thread_target(df.sparkSession)(one), range(self.k)))
         mean = {n: np.mean([s for _, m, s in self.scores if m == n]) for n in sizes}
         best = min(sizes, key=lambda n: (-mean[n], n))
         upto = sizes[:sizes.index(best) + 1]

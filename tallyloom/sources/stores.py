@@ -58,6 +58,18 @@ def unpack_metrics(records: DataFrame) -> DataFrame:
     return out
 
 
+REPORT_TYPE = "map<string,struct<precision:double,recall:double,`f1-score`:double,support:double>>"
+
+
+def encode_report(nested: DataFrame, column: str = "report") -> DataFrame:
+    """A nested class report as JSON text."""
+    return nested.withColumn(column, F.to_json(column))
+
+
+def decode_report(encoded: DataFrame, column: str = "report") -> DataFrame:
+    return encoded.withColumn(column, F.from_json(column, REPORT_TYPE))
+
+
 def write_report(df: DataFrame, path: str, by_stage: bool = False, stage: str = "stage") -> None:
     """``;``-separated text with a header, optionally one folder per stage."""
     writer = df.write.mode("overwrite").option("sep", ";").option("header", True)
