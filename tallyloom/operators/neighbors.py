@@ -10,16 +10,21 @@ pattern of known coordinates and distances use the coordinates known on both sid
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.expr import hash_key
 from tallyloom.functions.scale import bounded_rows, materialise, store
 
+# task functions travel whole, so executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CHUNK = 1024              # rows of a chunk on either side
 MAX_PIVOTS = 16_384
 PIVOT_BYTES = 64 << 20    # pivots are shipped to every task

@@ -146,3 +146,8 @@ def test_strategies():
             prep.target_counts(counts, bad)
     with pytest.raises(ValueError, match="two classes"):
         prep.target_counts(counts, 0.5)
+
+
+def test_task_functions_travel_by_value():
+    from pyspark import cloudpickle
+    assert neighbors.__name__ in cloudpickle.list_registry_pickle_by_value()
