@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import chat, exact_dedup, language, mixing, packing, quality, sharding, url_filter
+from tallyloom.llm import chat, exact_dedup, language, mixing, packing, quality, sharding, suffix_dedup, url_filter
 from tallyloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -55,6 +55,11 @@ def op1(spark, sf):
     return url_filter.judge_urls(table(spark, sf, "pages"), index)
 
 
+@query("op2_interval_expansion")
+def op2(spark, sf):
+    return suffix_dedup.remove_repeats(table(spark, sf, "documents"), with_text=False)
+
+
 @query("op3_jump_sharding", r"""
 with recursive """ + _CRC + r"""
 keyed as (select row_number() over () rid, doc_id, coalesce(text, '') body from documents),
