@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import chat, exact_dedup, language, mixing, packing, quality, sharding, suffix_dedup, url_filter
+from tallyloom.llm import chat, exact_dedup, language, mixing, ngram_join, packing, quality, sharding, suffix_dedup, url_filter
 from tallyloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -173,6 +173,11 @@ def op6(spark, sf):
     return exact_dedup.exact_groups(table(spark, sf, "documents"))
 
 
+@query("op7_multi_order_join")
+def op7(spark, sf):
+    return ngram_join.ngram_components(table(spark, sf, "documents"))
+
+
 @query("op8_chat_fingerprint")
 def op8(spark, sf):
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
