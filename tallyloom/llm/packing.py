@@ -193,17 +193,14 @@ def best_pattern(value: np.ndarray, size: np.ndarray, capacity: int) -> tuple[fl
     return float(best[capacity]), pattern
 
 
-def solve_patterns(size: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[int, np.ndarray]]:
-    """(times, pattern) that together hold exactly ``demand`` pieces of each class."""
-    m = len(size)
-    if m == 0:
-        return []
+def fractional_patterns(size: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(patterns as columns, how often each is used, dual price of a piece of each class), optimal among
+    all patterns once no pattern is worth more than 1 at the prices."""
     basis = np.diag(capacity // size).astype(float)
     inverse = np.diag(1.0 / (capacity // size))
     amount = inverse @ demand
     for _ in range(MAX_ROUNDS):
-        dual = inverse.sum(axis=0)
-        worth, pattern = best_pattern(np.maximum(dual, 0.0), size, capacity)
+        worth, pattern = best_pattern(np.maximum(inverse.sum(axis=0), 0.0), size, capacity)
         if worth <= 1.0 + 1e-9:
             break
         move = inverse @ pattern
@@ -218,6 +215,15 @@ def solve_patterns(size: np.ndarray, demand: np.ndarray, capacity: int) -> list[
         row = inverse[out] / move[out]
         inverse -= np.outer(move, row)
         inverse[out] = row
+    return basis, amount, inverse.sum(axis=0)
+
+
+def solve_patterns(size: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[int, np.ndarray]]:
+    """(times, pattern) that together hold exactly ``demand`` pieces of each class."""
+    m = len(size)
+    if m == 0:
+        return []
+    basis, amount, _ = fractional_patterns(size, demand, capacity)
     left = demand.astype(int).copy()
     plan = []
     for j in np.argsort(-amount, kind="stable"):
