@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Model
+from pyspark.ml import Model, PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.scale import bounded_rows
@@ -86,6 +86,20 @@ class VotingModel(Model):
             raise ValueError("voting must be 'soft' or 'hard'")
         self.members, self.voting, self.n_classes = list(members), voting, n_classes
 
+    def save(self, path: str, spark: SparkSession) -> None:
+        """Members and settings in one folder."""
+        for i, m in enumerate(self.members):
+            m.write().overwrite().save(f"{path}/member-{i}")
+        spark.createDataFrame([(self.voting, self.n_classes, len(self.members))],
+                              "voting string, n_classes int, n_members int").coalesce(1).write.mode(
+            "overwrite").json(f"{path}/settings")
+
+    @classmethod
+    def load(cls, path: str, spark: SparkSession) -> "VotingModel":
+        made = spark.read.schema("voting string, n_classes int, n_members int").json(f"{path}/settings").first()
+        members = [PipelineModel.load(f"{path}/member-{i}") for i in range(made["n_members"])]
+        return cls(members, made["voting"], made["n_classes"])
+
     def _transform(self, df: DataFrame) -> DataFrame:
         keep = df.columns
         out = df

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.expr import rounded, safe_div
+from tallyloom.functions.expr import rounded
 
 # Metric names of the reports.
 AVG_METRICS = ["balanced_accuracy", "f1-score", "kappa", "precision", "recall"]
@@ -94,7 +94,7 @@ def _totals(scores: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def classification_report(conf: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Class rows, then ``accuracy``, ``macro avg`` and ``weighted avg``, in long-report layout."""
-    scores = class_scores(conf, by).transform(lambda d: d)
+    scores = class_scores(conf, by)
     totals = _totals(scores, by)
     per_class = scores.select(*by, F.col("class").cast("string").alias("class"), "precision",
                               "recall", "f1-score", "support")
@@ -199,6 +199,3 @@ def trial_tally(trials: DataFrame) -> DataFrame:
 def mean_fold_score(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     return scores.groupBy(*by).agg(F.avg("score").alias("mean_score"))
 
-
-def safe_share(n: str, by: Sequence[str] = ()):
-    return safe_div(F.col(n), F.sum(n).over(Window.partitionBy(*by)))

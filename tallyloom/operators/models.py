@@ -17,7 +17,9 @@ from pyspark.ml import classification as mlc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.stat import Summarizer
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import (
+    DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter,
+)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,6 +86,25 @@ BEHAVIOR_SPACES: dict[str, dict | list] = {
         "validation_fraction": [0.1], "n_iter_no_change": [10], "tol": [1e-4]},
 }
 
+# Parameters of the spaces that have no counterpart here and change nothing.
+WITHOUT_EFFECT: dict[str, set[str]] = {
+    "Logistic Regression": {"penalty", "solver"},
+    "Decision Tree": {"min_samples_split"},
+    "Random Forest": {"min_samples_split"},
+    "Gradient Boosting": {"min_samples_split", "validation_fraction", "n_iter_no_change", "tol"},
+    "MLP": {"activation", "alpha", "learning_rate", "learning_rate_init", "solver", "early_stopping",
+            "validation_fraction", "n_iter_no_change"},
+}
+
+
+def effective(model: str, params: dict) -> dict:
+    """The parameters that change the fitted model; both 'balanced' weightings are one."""
+    out = {k: v for k, v in params.items() if k not in WITHOUT_EFFECT.get(model, ())}
+    if out.get("class_weight") == "balanced_subsample":
+        out["class_weight"] = "balanced"
+    return out
+
+
 PARALLEL_FITS = 8  # one-against-rest models fitted side by side
 MAX_DEPTH = 30   # Spark's deepest tree; stands for an unlimited one
 
@@ -211,13 +232,29 @@ class KNNClassifier(Estimator, _Columns):
         spark = df.sparkSession
         path = new_path(spark, "knn")
         (df.where(F.col(self.label).isNotNull())
-           .select(_digest(vector_to_array(self.features)).alias("_k"),
+           .select(F.concat_ws("-", _digest(vector_to_array(self.features)),      # ties: by vector, then label
+                               F.col(self.label).cast("string")).alias("_k"),
                    vector_to_array(self.features).alias("vec"),
                    F.col(self.label).cast("double").alias("label")).write.parquet(path))
         k, weights, metric = self.options
         return KNNModel(path, k, weights, metric, self.features)
 
 
+class _RowsWriter(DefaultParamsWriter):
+    """Parameters plus a copy of the training rows inside the model's folder."""
+
+    def saveImpl(self, path: str) -> None:
+        super().saveImpl(path)
+        source = self.instance.getOrDefault(self.instance.path)
+        self.sparkSession.read.parquet(source).write.parquet(f"{path}/rows")
+
+
+class _RowsReader(DefaultParamsReader):
+    def load(self, path: str):
+        model = super().load(path)
+        return model._set(path=f"{path}/rows")
+
+
 class KNNModel(Model, _Columns, DefaultParamsReadable, DefaultParamsWritable):
     path = Param(Params._dummy(), "path", "stored training rows", TypeConverters.toString)
     nNeighbors = Param(Params._dummy(), "nNeighbors", "k", TypeConverters.toInt)
@@ -230,6 +267,13 @@ class KNNModel(Model, _Columns, DefaultParamsReadable, DefaultParamsWritable):
         self._columns(featuresCol, "label")
         self._set(path=path, nNeighbors=k, weights=weights, metric=metric)
 
+    def write(self) -> DefaultParamsWriter:
+        return _RowsWriter(self)
+
+    @classmethod
+    def read(cls) -> DefaultParamsReader:
+        return _RowsReader(cls)
+
     def _transform(self, df: DataFrame) -> DataFrame:
         got = self.getOrDefault
         donors = df.sparkSession.read.parquet(got(self.path))
@@ -308,8 +352,7 @@ def _perceptron(p, cols, seed, n, width, k):
     cols = {c: v for c, v in cols.items() if c != "weightCol"}
     return mlc.MultilayerPerceptronClassifier(
         layers=[width, *hidden, k], maxIter=int(p.get("max_iter", 1000)), seed=seed,
-        solver="l-bfgs" if p.get("solver", "lbfgs") in ("lbfgs", "adam") else "gd",
-        stepSize=float(p.get("learning_rate_init", 0.03)), blockSize=int(p.get("batch_size", 128)),
+        solver="l-bfgs", blockSize=int(p.get("batch_size", 128)),
         **cols)
 
 

@@ -418,13 +418,17 @@ def smote_rows(df: DataFrame, key: str, vector: str, label: str, strategy: str |
 
 
 def balance_data(df: DataFrame, key: str, vector: str, label: str, strategy: str | float = "auto",
-                 k: int = 5, seed: int = 42, **neighbor_options) -> DataFrame:
-    """Originals and synthetic rows: (key, label, vec, synthetic); synthetic rows have no key."""
+                 k: int = 5, seed: int = 42, name_rows: bool = False, **neighbor_options) -> DataFrame:
+    """Originals and synthetic rows: (key, label, vec, synthetic).
+
+    Synthetic rows have no key; with ``name_rows`` keys are texts and theirs are '<label>-<i>-made'.
+    """
     made = smote_rows(df, key, vector, label, strategy, k, seed, **neighbor_options)
-    kind = df.schema[key].dataType
-    return (df.select(F.col(key).alias("key"), F.col(label).alias("label"),
+    kind = "string" if name_rows else df.schema[key].dataType
+    name = F.concat_ws("-", F.col("label").cast("string"), F.col("i").cast("string"), F.lit("made"))
+    return (df.select(F.col(key).cast(kind).alias("key"), F.col(label).alias("label"),
                       F.col(vector).cast("array<double>").alias("vec"), F.lit(False).alias("synthetic"))
-            .unionByName(made.select(F.lit(None).cast(kind).alias("key"), "label", "vec",
+            .unionByName(made.select((name if name_rows else F.lit(None).cast(kind)).alias("key"), "label", "vec",
                                      F.lit(True).alias("synthetic"))))
 
 

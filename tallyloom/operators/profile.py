@@ -7,7 +7,6 @@ before the shuffle.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -16,12 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.functions.expr import col, percent_text, rounded, safe_div
+from tallyloom.functions.expr import col, finite_or_null, percent_text, rounded, safe_div
 from tallyloom.functions.scale import (
     bounded_rows, materialise, running_total,
 )
 
-WIDE_PAIRS = 3   # above this many columns, correlation sums are built as matrices per task
 
 
 def is_numeric(df: DataFrame, name: str) -> bool:
@@ -215,11 +213,8 @@ def target_mapping(df: DataFrame, target: str) -> DataFrame:
 # ---------------------------------------------------------------- associations
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(i, f1, j, f2, n, r): Pearson r over pairwise non-null rows, i < j; null if undefined."""
-    columns = list(columns)
-    if len(columns) <= WIDE_PAIRS:
-        return _pairs_by_aggregate(df, columns)
-    return _pairs_by_matrix(df, columns)
+    """(i, f1, j, f2, n, r): Pearson r over the rows with two finite numbers, i < j; null if undefined."""
+    return _pairs_by_matrix(df, list(columns))
 
 
 def _r(cov: Column, vx: Column, vy: Column) -> Column:
@@ -227,23 +222,10 @@ def _r(cov: Column, vx: Column, vy: Column) -> Column:
     return F.when((vx > 0) & (vy > 0), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
 
 
-def _pairs_by_aggregate(df: DataFrame, columns: list[str]) -> DataFrame:
-    cells = []
-    for (i, a), (j, b) in itertools.combinations(enumerate(columns), 2):
-        x, y = col(a).cast("double"), col(b).cast("double")
-        both = x.isNotNull() & y.isNotNull()
-        cells.append(F.struct(
-            F.lit(i).alias("i"), F.lit(a).alias("f1"), F.lit(j).alias("j"), F.lit(b).alias("f2"),
-            F.count_if(both).alias("n"), F.covar_pop(x, y).alias("c"),
-            F.var_pop(F.when(both, x)).alias("vx"), F.var_pop(F.when(both, y)).alias("vy")))
-    out = df.agg(F.array(*cells).alias("a")).select(F.explode("a").alias("p")).select("p.*")
-    return out.select("i", "f1", "j", "f2", "n", _r(F.col("c"), F.col("vx"), F.col("vy")).alias("r"))
-
-
 def _pairs_by_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """One pass for any width: each task sums its rows into matrices, which are then added up."""
     k = len(columns)
-    numbers = df.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    numbers = df.select(*[finite_or_null(c).alias(f"c{i}") for i, c in enumerate(columns)])
     centre_row = numbers.agg(*[F.avg(f"c{i}").alias(f"c{i}") for i in range(k)]).first()
     centre = np.array([v if v is not None else 0.0 for v in centre_row])
     names = np.array(columns, dtype=object)
@@ -284,7 +266,7 @@ def correlation_ratio(df: DataFrame, target: str, features: Sequence[str],
     if nulls not in ("drop", "zero"):
         raise ValueError("nulls must be 'drop' or 'zero'")
     def value(c: str) -> Column:
-        x = col(c).cast("double")
+        x = finite_or_null(c)
         return F.coalesce(x, F.lit(0.0)) if nulls == "zero" else x
     cells = [F.struct(F.lit(c).alias("feature"), F.count(value(c)).alias("n"),
                       F.avg(value(c)).alias("m"), F.var_pop(value(c)).alias("v"))
@@ -303,8 +285,8 @@ def correlation_ratio(df: DataFrame, target: str, features: Sequence[str],
 
 def _pair_cells(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """(pair, x, y, n): how often each pair of values occurs, for all requested column pairs."""
-    cells = [F.struct(F.lit(p).alias("pair"), col(a).cast("double").alias("x"),
-                      col(b).cast("double").alias("y")) for p, (a, b) in enumerate(pairs)]
+    cells = [F.struct(F.lit(p).alias("pair"), finite_or_null(a).alias("x"),
+                      finite_or_null(b).alias("y")) for p, (a, b) in enumerate(pairs)]
     return materialise(
         df.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
           .where(F.col("x").isNotNull() & F.col("y").isNotNull())

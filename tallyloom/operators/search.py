@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.scale import materialise
 from tallyloom.operators.evaluate import average_metrics, confusion
-from tallyloom.operators.models import Classifier, param_space
+from tallyloom.operators.models import Classifier, effective, param_space
 from tallyloom.operators.prep import balance_data
 from tallyloom.operators.selection import SELECTOR_SPACES, build_selector
 
@@ -34,13 +34,18 @@ TRIALS_SCHEMA = ("stage string, trial int, params map<string,string>, fold_score
 # ---------------------------------------------------------------- parameter spaces
 
 def space_values(spec) -> list:
-    """Values of one parameter: a list, {'values'}, {'range','type'}, an interval tuple, a scalar."""
+    """Values of one parameter: a list, {'values'}, {'range','type'}, an interval tuple, a scalar.
+
+    An interval (low, high, 'log-uniform') is cut in equal ratios.
+    """
     if isinstance(spec, dict):
         if "values" in spec:
             return list(spec["values"])
         if "range" in spec:
             return _interval(*spec["range"], whole=spec.get("type") == "int")
         return [spec]
+    if isinstance(spec, tuple) and spec[2:] == ("log-uniform",):
+        return [spec[0] * (spec[1] / spec[0]) ** (i / 4) for i in range(5)]
     if isinstance(spec, tuple):
         return _interval(spec[0], spec[1], whole=isinstance(spec[0], int))
     return list(spec) if isinstance(spec, list) else [spec]
@@ -64,17 +69,20 @@ def expand(space: dict | list, prefix: str = "") -> list[dict]:
 
 def candidates(model: str, selector: str = "none", program: str = "base",
                space: dict | list | None = None, selector_space: dict | None = None) -> list[dict]:
-    """Every combination of classifier and selector parameters."""
-    left = expand(param_space(model, program) if space is None else space, "classifier__")
+    """Every combination of classifier and selector parameters.
+
+    Parameters without effect on the model are folded away, so that no fit is repeated under another name.
+    """
+    left, seen = [], set()
+    for p in expand(param_space(model, program) if space is None else space):
+        p = effective(model, p)
+        if (name := json.dumps(p, sort_keys=True, default=str)) not in seen:
+            seen.add(name)
+            left.append({f"classifier__{k}": v for k, v in p.items()})
     right = expand(SELECTOR_SPACES[selector] if selector_space is None else selector_space, "selector__")
     return [{**a, **b} for a, b in itertools.product(left, right)]
 
 
-def candidate_table(spark: SparkSession, found: Sequence[dict]) -> DataFrame:
-    rows = [(i, {k: str(v) for k, v in p.items()}) for i, p in enumerate(found)]
-    return spark.createDataFrame(rows, "candidate int, params map<string,string>")
-
-
 def _digest(params: dict, seed: int | str) -> str:
     return hashlib.md5(f"{json.dumps(params, sort_keys=True, default=str)}-{seed}".encode()).hexdigest()
 
@@ -148,12 +156,12 @@ class SearchSettings:
 
 
 def balanced(df: DataFrame, s: SearchSettings) -> DataFrame:
-    """Training rows plus their synthetic ones, back in (features, label) form."""
+    """Training rows plus their synthetic ones, back in (key as text, features, label) form."""
     if s.balance is None:
         return df
     plain = df.select(F.col(s.key), F.col(s.label), vector_to_array(s.features).alias("_vec"))
-    grown = balance_data(plain, s.key, "_vec", s.label, s.balance, seed=s.seed)
-    return materialise(grown.select(F.col("label").alias(s.label),
+    grown = balance_data(plain, s.key, "_vec", s.label, s.balance, seed=s.seed, name_rows=True)
+    return materialise(grown.select(F.col("key").alias(s.key), F.col("label").alias(s.label),
                                     array_to_vector("vec").alias(s.features)), "balanced")
 
 

@@ -16,9 +16,10 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.scale import bounded_rows
+from tallyloom.functions.scale import bounded_rows, materialise
 from tallyloom.operators.evaluate import average_metrics, confusion
 from tallyloom.operators.profile import entropy_terms
+from tallyloom.operators.split import stratified_folds
 
 PARALLEL_FOLDS = 4   # folds of the recursive elimination evaluated side by side
 
@@ -79,8 +80,9 @@ class MutualInformationSelector(Estimator):
     def _fit(self, df: DataFrame) -> Model:
         features, label, out = self.names
         ranked = mutual_information(df, features, label, self.bins)
-        n = 1_000_000 if self.k == "all" else int(self.k)
-        rows = bounded_rows(ranked.orderBy(F.desc("score"), "feature").limit(n), 1_000_000, "features")
+        width = df.select(F.size(vector_to_array(features))).first()[0]   # one score per column
+        n = width if self.k == "all" else int(self.k)
+        rows = bounded_rows(ranked.orderBy(F.desc("score"), "feature").limit(n), width, "features")
         return PipelineModel([_slicer([r["feature"] for r in rows], features, out)])
 
 
@@ -145,16 +147,29 @@ def elimination_sizes(width: int, least: int, step: float) -> list[int]:
 
 class EliminationSelector(Estimator):
     """Recursive elimination: forests drop the weakest features step by step in every fold; the
-    width with the best mean balanced accuracy wins and is refitted on all rows."""
+    width with the best mean balanced accuracy wins and is refitted on all rows.
 
-    def __init__(self, min_features_to_select: int = 10, step: float = 0.1, fold: str = "fold",
-                 k: int = 5, trees: int = 20, depth: int = 5, features: str = "features",
+    The folds are the selector's own, dealt by class over the hash of ``key`` (of the vector where the
+    rows have no key), whatever folds a surrounding search uses. Fewer folds than ``k`` are used where the smallest class is smaller.
+    """
+
+    def __init__(self, min_features_to_select: int = 10, step: float = 0.1, key: str = "row_id",
+                 k: int = 5, trees: int = 100, depth: int = 10, features: str = "features",
                  label: str = "label", out: str = "selected"):
         super().__init__()
-        self.least, self.step, self.fold, self.k = min_features_to_select, step, fold, k
+        self.least, self.step, self.key, self.k = min_features_to_select, step, key, k
         self.forest, self.names = (trees, depth), (features, label, out)
         self.scores: list[tuple[int, int, float]] = []
 
+    def _folded(self, df: DataFrame) -> DataFrame:
+        """(features, label, _inner), stored."""
+        features, label, _ = self.names
+        vector = F.transform(vector_to_array(features), lambda x: x.cast("string"))
+        key = F.col(self.key).cast("string") if self.key in df.columns else F.sha2(F.concat_ws(",", vector), 256)
+        rows = df.select(F.col(features), F.col(label), key.alias("_row"))
+        dealt = stratified_folds(rows, label, "_row", self.k).withColumnRenamed("fold", "_inner")
+        return materialise(dealt.select(features, label, "_inner"), "elimination")
+
     def _forest(self):
         features, label, _ = self.names
         return RandomForestClassifier(numTrees=self.forest[0], maxDepth=self.forest[1], seed=42,
@@ -185,12 +200,16 @@ class EliminationSelector(Estimator):
         width = df.select(F.size(vector_to_array(features))).first()[0]
         sizes = elimination_sizes(width, min(self.least, width), self.step)
         self.scores = []
+        rows = self._folded(df)
+        folds = sorted(r[0] for r in bounded_rows(rows.select("_inner").distinct(), self.k, "folds"))
+        if len(folds) < 2:
+            raise ValueError("elimination needs rows for at least two folds")
 
         def one(f: int) -> None:
-            self._path(df.where(F.col(self.fold) != f), sizes, df.where(F.col(self.fold) == f), f)
+            self._path(rows.where(F.col("_inner") != f), sizes, rows.where(F.col("_inner") == f), f)
 
         with ThreadPoolExecutor(max_workers=PARALLEL_FOLDS) as pool:
-            list(pool.map(inheritable_thread_target(df.sparkSession)(one), range(self.k)))
+            list(pool.map(inheritable_thread_target(df.sparkSession)(one), folds))
         mean = {n: np.mean([s for _, m, s in self.scores if m == n]) for n in sizes}
         best = min(sizes, key=lambda n: (-mean[n], n))
         upto = sizes[:sizes.index(best) + 1]

@@ -26,13 +26,16 @@ def _split_by_rank(rank: Column, size: Column, test: float, val: float) -> Colum
 
 def split_by_groups(df: DataFrame, group: str, test_size: float = 0.2,
                     val_size: float | None = None, seed: int = 42) -> DataFrame:
-    """Adds ``split``: whole groups go to test, validation or train by their md5 rank."""
+    """Adds ``split``: whole groups go to test, validation or train by their md5 rank.
+
+    Rows without a group are left out, as every split leaves out rows it cannot place.
+    """
     val = _check(test_size, val_size)
     groups = df.where(col(group).isNotNull()).select(group).distinct()
     ranked = hash_rank(groups, group, seed)
     assigned = ranked.select(group, _split_by_rank(
         F.col("_rank"), F.col("_size"), test_size, val).alias("split"))
-    return join_small(df, assigned, [group])
+    return join_small(df, assigned, [group], "inner")
 
 
 def split_by_target(df: DataFrame, target: str, key: str, test_size: float = 0.2,
@@ -67,17 +70,33 @@ def group_folds(df: DataFrame, group: str, target: str, k: int = 20, seed: int =
     return dealt.join(turn, "_class").select(group, fold.cast("int").alias("fold"))
 
 
+FOLD_COUNTS = (20, 50, 100, 200, 1000)   # finer folds only for shares that coarser ones miss
+
+
+def fold_shares(test: float, val: float, k: int | None = None) -> tuple[int, int, int]:
+    """(k, test folds, validation folds): at least one fold for every wanted part and for training,
+    with the fewest folds that come within 1/40 of both shares."""
+    for n in (k,) if k else FOLD_COUNTS:
+        n_test, n_val = max(round(test * n), 1), max(round(val * n), 1) if val else 0
+        close = abs(n_test / n - test) <= 0.025 and abs(n_val / n - val) <= 0.025
+        if n_test + n_val < n and (close or k):
+            return n, n_test, n_val
+    raise ValueError("the shares leave no fold for training")
+
+
 def split_by_groups_and_target(df: DataFrame, group: str, target: str, test_size: float = 0.2,
-                               val_size: float | None = None, seed: int = 42, k: int = 20,
+                               val_size: float | None = None, seed: int = 42, k: int | None = None,
                                limit: int | None = None) -> DataFrame:
-    """Adds ``split``: whole groups, classes balanced, by giving whole folds to each split."""
-    val = _check(test_size, val_size)
-    n_test, n_val = max(round(test_size * k), 1), round(val * k)
+    """Adds ``split``: whole groups, classes balanced, by giving whole folds to each split.
+
+    Rows of groups without any label, and rows without a group, are left out.
+    """
+    k, n_test, n_val = fold_shares(test_size, _check(test_size, val_size), k)
     fold = F.col("fold")
     assigned = group_folds(df, group, target, k, seed, limit).select(group, (
         F.when(fold < n_test, "test").when(fold < n_test + n_val, "val")
          .otherwise("train")).alias("split"))
-    return join_small(df, assigned, [group])
+    return join_small(df, assigned, [group], "inner")
 
 
 def stratified_folds(df: DataFrame, target: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:

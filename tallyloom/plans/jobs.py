@@ -22,7 +22,7 @@ from tallyloom.operators.clean import (
 )
 from tallyloom.operators.ensemble import VOTING_PREFIX, VotingModel, choose_members
 from tallyloom.operators.evaluate import (
-    average_metrics, confusion, long_metrics, metrics_summary,
+    average_metrics, class_scores, confusion, long_metrics, metrics_summary,
 )
 from tallyloom.operators.features import engineer_behavior
 from tallyloom.operators.prep import (
@@ -68,6 +68,7 @@ class Settings:
     balance: str | float | None = "auto"
     balance_first: bool = False      # oversample before cross-validation instead of inside folds
     use_voting: bool = False
+    voting_folds: int = 5            # folds of an ensemble's cross-validated score; 0 leaves it out
     parallelism: int = 4
     program: str = "base"
     spaces: dict = field(default_factory=dict)           # model -> space instead of the registry's
@@ -174,20 +175,29 @@ class StageResult:
     metrics: DataFrame | None       # stage, split, metric, value
     seconds: float
     error: str | None = None
+    cells: DataFrame | None = None  # stage, split, label, prediction, n
 
 
 def stage_name(model: str, selector: str) -> str:
     return f"{model}_{selector}"
 
 
-def evaluate_model(model, data: DataFrame, stage: str, with_val: bool = False) -> DataFrame:
-    """(stage, split, metric, value) from one pass over all splits."""
+def stage_cells(model, data: DataFrame, stage: str, with_val: bool = False) -> DataFrame:
+    """(stage, split, label, prediction, n) from one pass over all splits."""
     splits = ["train", "test", *(["val"] if with_val else [])]
     predicted = model.transform(data.where(F.col("split").isin(splits)))
-    cells = confusion(predicted.withColumn("stage", F.lit(stage)), ["stage", "split"])
+    return confusion(predicted.withColumn("stage", F.lit(stage)), ["stage", "split"])
+
+
+def cell_metrics(cells: DataFrame) -> DataFrame:
     return long_metrics(average_metrics(cells, ["stage", "split"]), ["stage", "split"])
 
 
+def evaluate_model(model, data: DataFrame, stage: str, with_val: bool = False) -> DataFrame:
+    """(stage, split, metric, value)."""
+    return cell_metrics(stage_cells(model, data, stage, with_val))
+
+
 def training_rows(prepared: Prepared, s: Settings) -> DataFrame:
     train = prepared.data.where(F.col("split") == "train")
     if not (s.balance_first and s.balance is not None):
@@ -212,8 +222,9 @@ def execute_stage(prepared: Prepared, train: DataFrame, model: str, selector: st
         result = run_search(s.search, stage, train, make, found, s.n_iter, s.search_settings())
         if result.model is None:
             raise RuntimeError(f"no trial succeeded: {result.trials[0].error if result.trials else 'none run'}")
-        metrics = materialise(evaluate_model(result.model, prepared.data, stage, s.use_voting), "metrics")
-        return StageResult(stage, result, metrics, time.monotonic() - start)
+        cells = materialise(stage_cells(result.model, prepared.data, stage, s.use_voting), "cells")
+        metrics = materialise(cell_metrics(cells), "metrics")
+        return StageResult(stage, result, metrics, time.monotonic() - start, cells=cells)
     except Exception as e:          # noqa: BLE001 - other stages go on
         return StageResult(stage, None, None, time.monotonic() - start, f"{type(e).__name__}: {e}"[:500])
 
@@ -239,33 +250,80 @@ class RunResult:
     models: dict
 
 
+def _timestamp() -> str:
+    return time.strftime("%Y-%m-%d %H:%M:%S", time.gmtime())
+
+
+def save_stage(result: StageResult, prepared: Prepared, s: Settings, store: str) -> None:
+    """Model, trials, class report and, last, the metrics record that marks the stage as done."""
+    spark = prepared.data.sparkSession
+    stores.save_model(result.search.model, store, result.stage, _timestamp(), spark)
+    stores.save_trials(result.search.table(spark), f"{store}/trials")
+    _save_report(result.cells, store)
+    info = spark.createDataFrame(
+        [(result.stage, s.search, float(result.search.best_score), float(result.seconds),
+          {k: str(v) for k, v in result.search.best_params.items()}, [str(c) for c in prepared.classes],
+          list(prepared.feature_names))],
+        "stage string, training_type string, cv_score double, seconds double, "
+        "hyperparameters map<string,string>, classes array<string>, features array<string>")
+    stores.save_metrics(stores.metric_records(result.metrics, info, result.cells), f"{store}/metrics")
+
+
+def _save_report(cells: DataFrame, store: str) -> None:
+    report = class_scores(cells, ["stage", "split"]).select(
+        "split", "class", "precision", "recall", "f1-score", "support", "stage")
+    stores.write_report(report, f"{store}/class-reports", by_stage=True)
+
+
+def _stored(spark: SparkSession, store: str, done: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
+    """(metrics, trials, models) of the finished stages."""
+    names = materialise(done.select("stage").distinct(), "done")
+    records = stores.load_all_metrics(spark, f"{store}/metrics").join(
+        names.withColumnRenamed("stage", "stage_name"), "stage_name", "left_semi")
+    trials = stores.load_trials(spark, f"{store}/trials").join(names, "stage", "left_semi")
+    models = {r["stage"]: r["stage"] for r in bounded_rows(
+        stores.latest_models(spark, store).join(names, "stage", "left_semi"), 10_000, "stages")}
+    return stores.unpack_metrics(records), trials, models
+
+
 def execute_all_stages(prepared: Prepared, s: Settings, store: str | None = None,
                        done: DataFrame | None = None) -> RunResult:
-    """Run every pending stage, append metrics and trials, optionally build voting ensembles."""
+    """Run every pending stage; each is stored before the next begins.
+
+    ``done`` (a column ``stage``) names stages to skip; with a store their metrics, trials and
+    models take part in the summary and in voting, so a run can be resumed after any stage, and a finished one
+    returns its stored results. At most 10 000 stages, the models x selectors of the settings.
+    """
     spark = prepared.data.sparkSession
     pending = bounded_rows(pending_stages(spark, s.models, s.selectors, done).orderBy("stage"),
                            10_000, "stages")
-    train = training_rows(prepared, s)
-    results = [execute_stage(prepared, train, r["model"], r["selector"], s) for r in pending]
-    good = [r for r in results if r.error is None]
     metrics = trials = None
-    for r in good:
-        table = r.search.table(spark)
-        metrics = r.metrics if metrics is None else metrics.unionByName(r.metrics)
+    models: dict = {}
+    if done is not None and store is not None and not done.isEmpty():
+        metrics, trials, models = _stored(spark, store, done)
+        metrics = metrics.where(~F.col("stage").startswith(VOTING_PREFIX))
+        models = {m: stores.load_model(spark, store, m) for m in models if not m.startswith(VOTING_PREFIX)}
+        metrics, trials = materialise(metrics, "stored"), materialise(trials, "stored")
+    train = training_rows(prepared, s) if pending else None
+    results, params = [], {}
+    for r in pending:
+        result = execute_stage(prepared, train, r["model"], r["selector"], s)
+        results.append(result)
+        if result.error is not None:
+            continue
+        if store is not None:
+            save_stage(result, prepared, s, store)
+        table = result.search.table(spark)
+        metrics = result.metrics if metrics is None else metrics.unionByName(result.metrics)
         trials = table if trials is None else trials.unionByName(table)
+        models[result.stage] = result.search.model
+        params[result.stage] = result.search.best_params
     if metrics is None:
         raise RuntimeError(f"all stages failed: {[(r.stage, r.error) for r in results]}")
-    models = {r.stage: r.search.model for r in good}
     if s.use_voting:
-        voted = evaluate_ensembles(prepared, models, metrics_summary(metrics), s)
-        metrics = metrics if voted is None else metrics.unionByName(voted)
-    if store is not None:
-        info = spark.createDataFrame(
-            [(r.stage, s.search, float(r.search.best_score), float(r.seconds)) for r in good],
-            "stage string, training_type string, cv_score double, seconds double")
-        stores.save_metrics(stores.metric_records(metrics, info), f"{store}/metrics")
-        stores.save_trials(trials, f"{store}/trials")
-    return RunResult(metrics, trials, metrics_summary(metrics), [r.stage for r in good],
+        voted = evaluate_ensembles(prepared, models, metrics_summary(metrics), s, store=store, params=params)
+        metrics = metrics.unionByName(voted)
+    return RunResult(metrics, trials, metrics_summary(metrics), [r.stage for r in results if r.error is None],
                      {r.stage: r.error for r in results if r.error}, models)
 
 
@@ -290,16 +348,31 @@ def ensemble_cv_score(prepared: Prepared, result_params: dict[str, dict], member
 
 def evaluate_ensembles(prepared: Prepared, models: dict, summary: DataFrame, s: Settings,
                        sizes: Sequence[int] = (4, 5, 6, 7), metric: str = "balanced_accuracy-val",
-                       voting: str = "soft") -> DataFrame | None:
-    """Metrics of one ensemble per size; sizes beyond the number of families repeat the largest."""
+                       voting: str = "soft", store: str | None = None, params: dict | None = None) -> DataFrame:
+    """Metrics of one ensemble per size; a size beyond the number of model families takes all families.
+
+    With ``s.voting_folds`` the vote of members whose parameters are known also gets a cross-validated score (split
+    'train', metric 'CV Score'). With a store, every ensemble and its metrics are saved.
+    """
     members = choose_members(summary, max(sizes), metric)
-    out = None
+    spark, out, scores = prepared.data.sparkSession, None, {}
     for n in sizes:
-        if n > len(members) and n != min(sizes):
-            continue
-        vote = build_voting(models, members[:n], voting, len(prepared.classes))
-        name = f"{VOTING_PREFIX}{n}"
-        one = materialise(evaluate_model(vote, prepared.data, name, True), "votes")
+        chosen, name = members[:n], f"{VOTING_PREFIX}{n}"
+        vote = build_voting(models, chosen, voting, len(prepared.classes))
+        cells = materialise(stage_cells(vote, prepared.data, name, True), "votes")
+        one, cv = materialise(cell_metrics(cells), "votes"), None
+        if s.voting_folds and all(m in (params or {}) for m in chosen):
+            if tuple(chosen) not in scores:
+                scores[tuple(chosen)] = ensemble_cv_score(prepared, params, chosen, s, voting, s.voting_folds)
+            cv = scores[tuple(chosen)]
+            one = one.unionByName(spark.createDataFrame([(name, "train", "CV Score", float(cv))], one.schema))
+        if store is not None:
+            stores.save_model(vote, store, name, _timestamp(), spark)
+            _save_report(cells, store)
+            info = spark.createDataFrame([(name, f"{voting} voting", cv, None, {"members": ", ".join(chosen)})],
+                                         "stage string, training_type string, cv_score double, seconds double, "
+                                         "hyperparameters map<string,string>")
+            stores.save_metrics(stores.metric_records(one, info, cells), f"{store}/metrics")
         out = one if out is None else out.unionByName(one)
     return out
 

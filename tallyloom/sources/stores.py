@@ -6,25 +6,40 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.operators.evaluate import AVG_METRICS, long_metrics
+from tallyloom.operators.ensemble import VotingModel
+from tallyloom.operators.evaluate import AVG_METRICS, class_scores, long_metrics, nested_report
 
-# one record per stage: its settings beside a map of metrics for each split
+# one record per stage: its settings beside a map of metrics for each split, and by split the class
+# report as JSON text and the counted cells of the confusion matrix
 METRICS_SCHEMA = ("stage_name string, training_type string, cv_score double, seconds double, "
                   "train_metrics map<string,double>, val_metrics map<string,double>, "
-                  "test_metrics map<string,double>")
-MODELS_SCHEMA = "stage string, path string, saved_at timestamp"
+                  "test_metrics map<string,double>, hyperparameters map<string,string>, "
+                  "classes array<string>, features array<string>, class_reports map<string,string>, "
+                  "confusion map<string,array<struct<label:double,prediction:double,n:bigint>>>")
+MODELS_SCHEMA = "stage string, path string, saved_at timestamp, kind string"
 
 
-def metric_records(metrics: DataFrame, info: DataFrame) -> DataFrame:
-    """Long (stage, split, metric, value) rows and (stage, training_type, cv_score, seconds) as
-    nested records."""
+def metric_records(metrics: DataFrame, info: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """Long (stage, split, metric, value) rows as nested records beside what ``info`` says of the stage:
+    (stage, training_type, cv_score, seconds, further columns of the schema). Stages that ``info``
+    lacks keep their metrics. ``cells`` (stage, split, label, prediction, n) add reports and matrices."""
     def of(split: str):
         entry = F.when(F.col("split") == split, F.struct(F.col("metric"), F.col("value")))
         return F.map_from_entries(F.collect_list(entry))     # a handful of metrics per stage
     nested = metrics.groupBy("stage").agg(*[of(s).alias(f"{s}_metrics") for s in ("train", "val", "test")])
-    return nested.join(info, "stage").select(
+    more = [c for c in ("hyperparameters", "classes", "features") if c in info.columns]
+    out = nested.join(info, "stage", "left")
+    if cells is not None:
+        by = ["stage", "split"]
+        reports = encode_report(nested_report(class_scores(cells, by), by)).groupBy("stage").agg(
+            F.map_from_entries(F.collect_list(F.struct("split", "report"))).alias("class_reports"))
+        cell = F.struct(*[F.col(c).cast("double").alias(c) for c in ("label", "prediction")], "n")
+        grids = cells.groupBy(*by).agg(F.sort_array(F.collect_list(cell)).alias("g")).groupBy("stage").agg(
+            F.map_from_entries(F.collect_list(F.struct("split", "g"))).alias("confusion"))  # classes squared
+        out, more = out.join(reports, "stage", "left").join(grids, "stage", "left"), [*more, "class_reports", "confusion"]
+    return out.select(
         F.col("stage").alias("stage_name"), "training_type", "cv_score", "seconds",
-        "train_metrics", "val_metrics", "test_metrics")
+        "train_metrics", "val_metrics", "test_metrics", *more)
 
 
 def save_metrics(records: DataFrame, path: str) -> None:
@@ -71,8 +86,10 @@ def decode_report(encoded: DataFrame, column: str = "report") -> DataFrame:
 
 
 def write_report(df: DataFrame, path: str, by_stage: bool = False, stage: str = "stage") -> None:
-    """``;``-separated text with a header, optionally one folder per stage."""
+    """``;``-separated text with a header. ``by_stage``: one folder per stage, of which only those
+    of the given stages are written anew."""
     writer = df.write.mode("overwrite").option("sep", ";").option("header", True)
+    writer = writer.option("partitionOverwriteMode", "dynamic" if by_stage else "static")
     (writer.partitionBy(stage) if by_stage else writer).csv(path)
 
 
@@ -92,27 +109,35 @@ def stage_metrics(wide: DataFrame) -> DataFrame:
     return long_metrics(wide, ["stage", "split"])
 
 
-def save_model(model: PipelineModel, root: str, stage: str, saved_at: str, spark: SparkSession) -> str:
+def save_model(model: PipelineModel | VotingModel, root: str, stage: str, saved_at: str, spark: SparkSession) -> str:
     """Store a fitted model and note it in the model catalogue; ``saved_at`` is 'yyyy-MM-dd HH:mm:ss'."""
     stamp = "".join(ch for ch in saved_at if ch.isdigit())
     safe = "".join(ch if ch.isalnum() else "_" for ch in stage)
     path = f"{root}/models/{safe}-{stamp}"
-    model.write().overwrite().save(path)
+    votes = isinstance(model, VotingModel)
+    if votes:
+        model.save(path, spark)
+    else:
+        model.write().overwrite().save(path)
     (spark.range(1).select(F.lit(stage).alias("stage"), F.lit(path).alias("path"),
-                           F.to_timestamp(F.lit(saved_at)).alias("saved_at"))
+                           F.to_timestamp(F.lit(saved_at)).alias("saved_at"),
+                           F.lit("voting" if votes else "pipeline").alias("kind"))
      .write.mode("append").parquet(f"{root}/catalogue"))
     return path
 
 
 def latest_models(spark: SparkSession, root: str) -> DataFrame:
-    """(stage, path, saved_at): the newest model of every stage, by its exact name."""
+    """(stage, path, kind, saved_at): the newest model of every stage, by its exact name."""
     return (spark.read.schema(MODELS_SCHEMA).parquet(f"{root}/catalogue").groupBy("stage")
             .agg(F.max_by("path", F.struct("saved_at", "path")).alias("path"),
+                 F.max_by("kind", F.struct("saved_at", "path")).alias("kind"),
                  F.max("saved_at").alias("saved_at")))
 
 
-def load_model(spark: SparkSession, root: str, stage: str) -> PipelineModel:
+def load_model(spark: SparkSession, root: str, stage: str) -> PipelineModel | VotingModel:
     found = latest_models(spark, root).where(F.col("stage") == stage).first()
     if found is None:
         raise ValueError(f"no stored model for stage {stage!r}")
+    if found["kind"] == "voting":
+        return VotingModel.load(found["path"], spark)
     return PipelineModel.load(found["path"])

@@ -56,6 +56,7 @@ def test_spaces():
     assert search.space_values({"range": (1, 3), "type": "int"}) == [1, 2, 3]
     assert search.space_values((0.0, 1.0)) == [0.0, 0.25, 0.5, 0.75, 1.0]
     assert search.space_values((2, 4)) == [2, 3, 4]
+    assert search.space_values((1e-4, 1.0, "log-uniform")) == pytest.approx([1e-4, 1e-3, 1e-2, 1e-1, 1.0])
     assert search.space_values("x") == ["x"]
     assert len(search.expand([{"a": [1, 2]}, {"a": [3], "b": [4, 5]}])) == 4
     assert len(search.candidates("SVM")) == 3 and len(search.candidates("Naive Bayes", "mi")) == 21
@@ -143,6 +144,79 @@ def test_sweep_resumes_and_votes(spark, blobs):
     assert [x["stage"] for x in left.collect()] == ["MLP_none"]
 
 
+def test_an_interrupted_sweep_goes_on(spark, blobs, monkeypatch):
+    """Stage 2 of 3 kills the run; the next run skips stage 1, votes with its stored model and is then finished."""
+    p = jobs.Prepared(blobs.withColumn("group", F.lit(None).cast("long")), [f"f{i}" for i in range(6)], [0, 1, 2])
+    names = ["Decision Tree", "KNN", "Naive Bayes"]
+    s = jobs.Settings(models=names, folds=2, n_iter=1, search="grid", balance=None, use_voting=True, voting_folds=0,
+                      spaces={n: SMALL[n] for n in names})
+    root, real, ran = new_path(spark, "sweep"), jobs.execute_stage, []
+
+    def dying(prepared, train, model, selector, settings):
+        if model == "KNN" and not ran.count("KNN"):
+            ran.append(model)
+            raise KeyboardInterrupt
+        ran.append(model)
+        return real(prepared, train, model, selector, settings)
+
+    monkeypatch.setattr(jobs, "execute_stage", dying)
+    with pytest.raises(KeyboardInterrupt):
+        jobs.execute_all_stages(p, s, root)
+
+    def finished():
+        return stores.load_all_metrics(spark, f"{root}/metrics").select(F.col("stage_name").alias("stage"))
+
+    assert [r["stage"] for r in finished().collect()] == ["Decision Tree_none"]
+    r = jobs.execute_all_stages(p, s, root, finished())
+    assert ran == ["Decision Tree", "KNN", "KNN", "Naive Bayes"] and r.failed == {}
+    stages = {f"{n}_none" for n in names} | {f"Voting_{n}" for n in (4, 5, 6, 7)}
+    assert {x["Model"] for x in r.summary.collect()} == stages == {x["stage"] for x in finished().collect()}
+    again = jobs.execute_all_stages(p, s, root, finished())
+    assert again.completed == [] and {x["Model"] for x in again.summary.collect()} == stages
+    assert {x["stage"] for x in stores.read_report(spark, f"{root}/class-reports", "split string, class string, "
+            "precision double, recall double, f1 double, support long, stage string").collect()} == stages
+    record = stores.load_metrics(spark, f"{root}/metrics", "KNN_none").first()
+    assert record["hyperparameters"]["classifier__n_neighbors"] == "3" and len(record["features"]) == 6
+    assert sum(c["n"] for c in record["confusion"]["test"]) == blobs.where("split = 'test'").count()
+
+
+def test_saved_neighbours_and_votes_need_no_scratch(spark, blobs, tmp_path):
+    train = blobs.where("split = 'train'")
+    knn = search.create_pipeline("KNN", "none", {"classifier__n_neighbors": 3}).fit(train)
+    vote = ensemble.VotingModel([knn, search.create_pipeline("Naive Bayes").fit(train)], "soft", 3)
+    before = {r["row_id"]: r["prediction"] for r in vote.transform(blobs).collect()}
+    stores.save_model(vote, str(tmp_path / "store"), "Voting_2", "2024-01-01 00:00:00", spark)
+    knn.stages[-1].set(knn.stages[-1].path, str(tmp_path / "gone"))
+    back = stores.load_model(spark, str(tmp_path / "store"), "Voting_2")
+    assert isinstance(back, ensemble.VotingModel) and "gone" not in back.members[0].stages[-1].getOrDefault("path")
+    assert {r["row_id"]: r["prediction"] for r in back.transform(blobs).collect()} == before
+
+
+@pytest.mark.parametrize("balance", [None, "auto"])
+def test_elimination_inside_a_search(blobs, balance):
+    uneven = blobs.where("split = 'train' and (label <> 2 or row_id % 2 = 0)")
+    found = [{"selector__min_features_to_select": 2, "selector__step": 0.5, "selector__trees": 4, "selector__depth": 3,
+              "selector__k": 2}]
+    r = search.run_search("grid", "s", uneven, lambda p: search.create_pipeline("Naive Bayes", "rfe", p), found, 1,
+                          search.SearchSettings(folds=2, balance=balance))
+    assert [t.error for t in r.trials] == [None] and r.best_score > 0.8 and r.model is not None
+
+
+def test_equal_vectors_have_one_answer(spark):
+    rows = [(i, i % 2, [1.0, 1.0]) for i in range(8)] + [(9, 0, [5.0, 5.0])]
+    df = spark.createDataFrame(rows, "row_id long, label int, v array<double>").select(
+        "row_id", "label", array_to_vector("v").alias("features"))
+    answers = {tuple(Classifier("KNN", {"n_neighbors": 3}).fit(df.repartition(n)).transform(df.limit(1))
+                     .select(vector_to_array("probability").alias("p")).first()["p"]) for n in (1, 2, 5, 7)}
+    assert len(answers) == 1
+
+
+def test_parameters_without_effect_are_folded():
+    assert len(search.candidates("Logistic Regression")) == 3 * 3 * 2
+    assert len(search.candidates("MLP")) == 3 * 3 * 2
+    assert not any("min_samples_split" in k for p in search.candidates("Random Forest") for k in p)
+
+
 def test_failed_stage_is_reported(blobs):
     p = jobs.Prepared(blobs, [], [0, 1, 2])
     s = jobs.Settings(folds=2, search="grid", balance=None, spaces={"MLP": {"hidden_layer_sizes": ["wrong"]}})

@@ -41,13 +41,31 @@ def test_constant_column_has_no_correlation_but_is_found(spark):
     assert [r[0] for r in profile.constant_columns(df).collect()] == ["c"]
 
 
-def test_correlation_paths_agree(spark):
+def _by_aggregate(df, a, b):
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    n, va, vb, cov = df.where(both).agg(F.count(F.lit(1)), F.var_pop(a), F.var_pop(b), F.covar_pop(a, b)).first()
+    return n, cov / (va * vb) ** 0.5 if va and vb else None
+
+
+def test_not_a_number_is_missing(spark):
+    """The same pair has the same answer beside one column or nine others."""
+    df = spark.range(40).select(*[
+        F.when(F.col("id") % 7 == i % 7, F.lit(float("nan"))).when(F.col("id") == i, F.lit(float("inf")))
+         .otherwise(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(100)) + F.col("id")).alias(f"c{i}") for i in range(10)])
+    known = df.select(*[F.when(F.isnan(c) | (F.col(c) > 1e300), None).otherwise(F.col(c)).alias(c) for c in df.columns])
+    two = profile.correlation_pairs(df, ["c0", "c3"]).first()
+    ten = [r for r in profile.correlation_pairs(df, df.columns).collect() if (r["f1"], r["f2"]) == ("c0", "c3")][0]
+    n, r = _by_aggregate(known, "c0", "c3")
+    assert two["n"] == ten["n"] == n < 40 and two["r"] == pytest.approx(r) and ten["r"] == pytest.approx(r)
+
+
+def test_correlations_equal_aggregates(spark):
     df = spark.range(500).select(
         *[F.when(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(9)) > 0,
                  F.pmod(F.xxhash64(F.lit(i), "id"), F.lit(1000)) / 7 + F.col("id") * i).alias(f"c{i}")
           for i in range(6)], F.lit(2.0).alias("c6"))
-    a = {(r["i"], r["j"]): (r["n"], r["r"]) for r in profile._pairs_by_aggregate(df, df.columns).collect()}
-    b = {(r["i"], r["j"]): (r["n"], r["r"]) for r in profile._pairs_by_matrix(df, df.columns).collect()}
+    a = {(i, j): _by_aggregate(df, f"c{i}", f"c{j}") for i in range(7) for j in range(i + 1, 7)}
+    b = {(r["i"], r["j"]): (r["n"], r["r"]) for r in profile.correlation_pairs(df, df.columns).collect()}
     assert a.keys() == b.keys() and len(a) == 21
     for k in a:
         assert a[k][0] == b[k][0]

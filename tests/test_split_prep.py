@@ -151,3 +151,16 @@ def test_strategies():
 def test_task_functions_travel_by_value():
     from pyspark import cloudpickle
     assert neighbors.__name__ in cloudpickle.list_registry_pickle_by_value()
+
+
+def test_small_and_large_shares_leave_training_folds(spark):
+    from tallyloom.operators.split import fold_shares, split_by_groups, split_by_groups_and_target
+    assert fold_shares(0.15, 0.3) == (20, 3, 6) and fold_shares(0.2, 0.0) == (20, 4, 0)
+    assert fold_shares(0.02, 0.0) == (50, 1, 0)
+    k, test, val = fold_shares(0.5, 0.49)
+    assert (test + val) < k and abs(test / k - 0.5) <= 0.025 and abs(val / k - 0.49) <= 0.025
+    df = spark.range(3000).selectExpr("id", "case when id % 10 = 0 then null else id % 400 end as g", "cast(id % 3 as int) as y")
+    out = split_by_groups_and_target(df, "g", "y", 0.5, 0.49)
+    share = {r["split"]: r["count"] for r in out.groupBy("split").count().collect()}
+    assert set(share) == {"train", "val", "test"} and out.where("g is null").isEmpty()
+    assert split_by_groups(df, "g").where("split is null").isEmpty()
