@@ -166,7 +166,7 @@ PREDS_CTE = f"""preds as (select event_id as row_id, user_id, k, {_LABEL} as lab
 CONF_CTE = PREDS_CTE + """, conf as (select stage, split, label, prediction, count(*) as n
   from preds group by all)"""
 
-SCORES_CTE = CONF_CTE + """, roles as (
+_SCORES = """, roles as (
   select stage, split, label as class, n as support, 0 as predicted,
          case when label = prediction then n else 0 end as tp from conf
   union all select stage, split, prediction, 0, n, 0 from conf),
@@ -177,7 +177,9 @@ pr as (select *, case when predicted = 0 then 0.0 else tp / predicted::double en
 scores as (select *, case when prec + rec = 0 then 0.0 else 2 * prec * rec / (prec + rec) end as f1
   from pr)"""
 
-METRICS_CTE = SCORES_CTE + """, totals as (select stage, split, sum(support)::double as n,
+SCORES_CTE = CONF_CTE + _SCORES
+
+_METRICS = """, totals as (select stage, split, sum(support)::double as n,
   sum(tp) / sum(support)::double as acc, avg(case when support > 0 then rec end) as bal,
   sum(prec * support) / sum(support) as wp, sum(rec * support) / sum(support) as wr,
   sum(f1 * support) / sum(support) as wf, avg(prec) as mp, avg(rec) as mr, avg(f1) as mf,
@@ -187,3 +189,15 @@ wide as (select stage, split, bal as "balanced_accuracy", wf as "f1-score",
   (acc - pe) / nullif(1 - pe, 0) as "kappa", wp as "precision", wr as "recall" from totals),
 metrics as (unpivot wide on "balanced_accuracy", "f1-score", "kappa", "precision", "recall"
   into name metric value value)"""
+
+METRICS_CTE = SCORES_CTE + _METRICS
+
+# the same metrics of any predictions `p` (stage, split, label, prediction)
+FROM_PREDICTIONS = """conf as (select stage, split, label::integer as label, prediction::integer as prediction,
+  count(*) as n from p group by all)""" + _SCORES + _METRICS
+
+# `sp`: the embeddings with the class-stratified 70/10/20 split of the learning queries
+MATRIX_SPLIT = """ranked as (select vec_id, label, embedding, count(*) over (partition by label) as size,
+    row_number() over (partition by label order by md5(vec_id::varchar || '-42'), vec_id) as rank from embeddings),
+  sp as (select vec_id, label, embedding, case when rank <= round(size * 0.2::double) then 'test'
+    when rank <= round(size * 0.2::double) + round(size * 0.1::double) then 'val' else 'train' end as split from ranked)"""

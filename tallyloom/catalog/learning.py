@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.catalog.base import (
-    METRICS_CTE, PREDS_CTE, SCORES_CTE, log_cte, log_view, out, predictions, query, table,
+    FROM_PREDICTIONS, MATRIX_SPLIT, METRICS_CTE, PREDS_CTE, SCORES_CTE, log_cte, log_view, out, predictions, query, table,
 )
 from tallyloom.catalog.evaluation import BY, SUMMARY_CTE, _conf, _metrics, _summary
 from tallyloom.functions.scale import materialise, new_path
@@ -204,14 +204,16 @@ def s12(spark, sf):
 
 # ---------------------------------------------------------------- feature selection
 
-@query("q_k1_mutual_information", """with u as (select label as y, unnest(embedding)::double as x,
-      unnest(range(0, 64)) as feature from embeddings),
+_MI = """u as (select label as y, unnest(embedding)::double as x, unnest(range(0, 64)) as feature from embeddings),
     r as (select feature, min(x) as lo, max(x) - min(x) as w from u group by 1),
     b as (select u.feature, y, least(floor((x - lo) * 10 / w), 9) as b from u join r on u.feature = r.feature),
     c as (select feature, b, y, count(*)::double as n from b group by all),
     m as (select *, sum(n) over (partition by feature, b) as nx, sum(n) over (partition by feature, y) as ny,
-      sum(n) over (partition by feature) as t from c)
-    select feature, round(sum(n / t * ln(n * t / (nx * ny))), 6) as score from m group by 1""")
+      sum(n) over (partition by feature) as t from c),
+    mi as (select feature, sum(n / t * ln(n * t / (nx * ny))) as score from m group by 1)"""
+
+
+@query("q_k1_mutual_information", f"with {_MI} select feature, round(score, 6) as score from mi")
 def k1(spark, sf):
     return out(selection.mutual_information(_matrix(spark, sf)))
 
@@ -223,7 +225,9 @@ def _kept(spark, sf, selector: str, params: dict) -> DataFrame:
                                   [f"px_{i}" for i in range(64)], spark)
 
 
-@query("q_k1_selected_features")
+@query("q_k1_selected_features", f"""with {_MI} select 'Naive Bayes_mi' as stage, 'mi' as selector,
+    64::integer as n_input, 10::integer as n_selected, 'px_' || feature as feature from mi
+    order by score desc, mi.feature limit 10""")
 def k1_top(spark, sf):
     return _kept(spark, sf, "mi", {"k": 10})
 
@@ -252,8 +256,8 @@ def k6(spark, sf):
 
 # ---------------------------------------------------------------- classifiers
 
-def _model_query(name: str, model: str, params: dict):
-    @query(name)
+def _model_query(name: str, model: str, params: dict, sql: str | None = None):
+    @query(name, sql)
     def run(spark, sf):
         p = _prepared(spark, sf)
         fitted = Classifier(model, params).fit(p.data.where("split = 'train'"))
@@ -266,7 +270,18 @@ _model_query("q_m2_decision_tree", "Decision Tree", {"criterion": "entropy", "ma
 _model_query("q_m3_random_forest", "Random Forest", {"n_estimators": 50, "max_depth": 8, "class_weight": "balanced"})
 _model_query("q_m4_gradient_boosting", "Gradient Boosting", {"n_estimators": 3, "max_depth": 3, "learning_rate": 0.3})
 _model_query("q_m5_linear_svm", "SVM", {"C": 1.0, "class_weight": "balanced", "max_iter": 10})
-_model_query("q_m6_knn_classifier", "KNN", {"n_neighbors": 7, "weights": "distance", "metric": "manhattan"})
+_model_query("q_m6_knn_classifier", "KNN", {"n_neighbors": 7, "weights": "distance", "metric": "manhattan"},
+             f"""with {MATRIX_SPLIT},
+    d as (select q.vec_id, q.split, q.label as truth, t.label, t.vec_id as near, list_sum(list_transform(range(1, 65),
+      lambda i: abs(q.embedding[i]::double - t.embedding[i]::double))) as d
+      from sp q, sp t where q.split in ('train', 'test') and t.split = 'train'),
+    k as (select *, row_number() over (partition by vec_id order by d, near) as r from d qualify r <= 7),
+    z as (select *, min(d) over (partition by vec_id) = 0 as zero from k),
+    v as (select vec_id, split, truth, label, sum(case when zero then (d = 0)::integer else 1 / d end) as w
+      from z group by all),
+    p as (select 'KNN_none' as stage, split, truth as label, first(label order by w desc, label) as prediction
+      from v group by vec_id, split, truth),
+    {FROM_PREDICTIONS} select stage, split, metric, round(value, 6) as value from metrics""")
 _model_query("q_m7_boosted_trees", "XGBoost", {"n_estimators": 3, "max_depth": 3, "subsample": 0.8, "colsample_bytree": 0.8})
 _model_query("q_m9_perceptron", "MLP", {"hidden_layer_sizes": (50, 25), "max_iter": 100})
 
@@ -298,7 +313,21 @@ def h3(spark, sf):
     return _searched(spark, sf, "optuna", 4)
 
 
-@query("q_h9_evaluated_splits")
+_NB_SPLIT = f"""{MATRIX_SPLIT},
+  u as (select vec_id, split, label, unnest(embedding)::double as x, unnest(range(0, 64)) as j from sp),
+  t as (select * from u where split = 'train'),
+  o as (select j, var_pop(x) as v from t group by 1),
+  s as (select label as c, j, avg(x) as m, var_pop(x) + 1e-9::double * (select max(v) from o) as v from t group by 1, 2),
+  pri as (select label as c, count(*) / (select count(*) from sp where split = 'train')::double as prior
+    from sp where split = 'train' group by 1),
+  ll as (select vec_id, split, label, s.c, any_value(ln(prior)) - 0.5 * sum(ln(2 * pi() * s.v) + (x - m) * (x - m) / s.v)
+    as score from u join s on u.j = s.j join pri on pri.c = s.c group by all),
+  p as (select 'Naive Bayes_none' as stage, split, label, first(c order by score desc, c) as prediction
+    from ll group by vec_id, split, label)"""
+
+
+@query("q_h9_evaluated_splits", f"""with {_NB_SPLIT}, {FROM_PREDICTIONS}
+    select stage, split, metric, round(value, 6) as value from metrics""")
 def h9(spark, sf):
     p = _prepared(spark, sf)
     model = search.create_pipeline("Naive Bayes").fit(p.data.where("split = 'train'"))

@@ -122,6 +122,20 @@ def a9(spark, sf):
     return profile.mapping_report(prep.dictionary(df, ["log_type", "estado_afetivo"]), df)
 
 
+_WIDE_SQL = """w as (select 'order' as feature, l_orderkey::varchar as value, null::double as x from lineitem
+    union all select 'part', l_partkey::varchar, l_partkey::double from lineitem)"""
+
+
+@query("q_a9_wide_mapping", f"""with {_WIDE_SQL},
+    c as (select feature, value, any_value(x) as x, count(*) as n from w group by all)
+    select feature, (row_number() over (partition by feature order by x nulls first, value) - 1)::integer as code, value, n from c""")
+def a9_wide(spark, sf):
+    """Columns with more values than any dictionary in an expression could hold."""
+    df = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("order"),
+                                             F.col("l_partkey").alias("part"))
+    return profile.mapping_report(prep.dictionary(df, ["order", "part"]), df).drop("pct")
+
+
 @query("q_a10_class_mapping", f"""with {log_cte('comportamento')}, c as (select comportamento as class,
     count(*) as n from log where comportamento is not null group by 1)
     select row_number() over (order by class) - 1 as code, class, n,

@@ -374,6 +374,21 @@ def e12(spark, sf):
     return prep.DataEncoder(nominal=["event_type"]).fit_transform(df)
 
 
+@query("q_e12_sparse_one_hot", """with k as (select l_orderkey * 10 + l_linenumber as key, l_orderkey::varchar as v,
+      l_returnflag as f, l_quantity::double as q from lineitem),
+    d as (select v, row_number() over (order by v) - 1 as code from (select distinct v from k)),
+    r as (select f, row_number() over (order by f) - 1 as code from (select distinct f from k))
+    select key, 0::bigint as index, q as value from k where q <> 0 union all
+    select key, code::bigint, 1.0::double from k join d using (v) where code > 0 union all
+    select key, (select count(*) from d) - 1 + code, 1.0::double from k join r using (f) where code > 0""")
+def e12_sparse(spark, sf):
+    """A numeric column, one nominal column with a value per order, and a small one."""
+    df = table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"), F.col("l_quantity").cast("double").alias("q"),
+        F.col("l_orderkey").cast("string").alias("o"), F.col("l_returnflag").alias("f"))
+    return prep.DataEncoder(["q"], ["o", "f"], scaling="none").fit(df).sparse(df, "key")
+
+
 _PRIORITIES = ["5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH", "1-URGENT"]
 
 
@@ -409,6 +424,13 @@ def e16(spark, sf):
     return enc.feature_mapping(df)
 
 
+@query("q_e16_wide_dictionary", """select 'o' as feature, (row_number() over (order by v) - 1)::integer as code, v as value
+    from (select distinct l_orderkey::varchar as v from lineitem)""")
+def e16_wide(spark, sf):
+    df = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("o"))
+    return prep.DataEncoder(nominal=["o"]).fit(df).feature_mapping(df)
+
+
 # ---------------------------------------------------------------- neighbours and oversampling
 
 def _dist(a, b):

@@ -29,6 +29,7 @@ CHUNK = 1024              # rows of a chunk on either side
 MAX_PIVOTS = 16_384
 PIVOT_BYTES = 64 << 20    # pivots are shipped to every task
 MAX_CELLS = 200_000       # so is the cell table
+MIXED = "*"               # the pattern of cells whose donors have different known coordinates
 MATRIX_CELLS = 4_000_000  # doubles in one distance matrix
 
 
@@ -75,7 +76,8 @@ class _Cells:
         self.pivot = np.array([r["pivot"] for r in rows], dtype="int64")
         self.n = np.array([r["n"] for r in rows], dtype="int64")
         self.radius = np.array([r["radius"] for r in rows], dtype="float64")
-        self.known = {m: np.unpackbits(np.frombuffer(bytes.fromhex(m), dtype="uint8"))[:width] == 1
+        self.known = {m: None if m == MIXED else
+                      np.unpackbits(np.frombuffer(bytes.fromhex(m), dtype="uint8"))[:width] == 1
                       for m in set(self.mask)}
 
     def bounds(self, q: np.ndarray, block: np.ndarray, target: np.ndarray):
@@ -84,6 +86,11 @@ class _Cells:
         upper = lower.copy()
         for m, known in self.known.items():
             at = np.flatnonzero(self.mask == m)
+            if m == MIXED:                      # nothing is known of its rows: always visited
+                ok = block[:, None] == self.block[at][None, :]
+                lower[:, at] = np.where(ok, 0.0, np.inf)
+                upper[:, at] = np.where(ok, np.finfo("float64").max, np.inf)
+                continue
             seen = np.where(known, q, np.nan)
             both = (~np.isnan(seen)).sum(axis=1)
             d = _distances(seen, self.pivots, self.metric)[:, self.pivot[at]]
@@ -107,8 +114,8 @@ class _Cells:
 
 
 def nearest(queries: DataFrame, donors: DataFrame, k: int, metric: str = "euclidean",
-            exclude_self: bool = False, chunk: int = CHUNK, max_pivots: int = MAX_PIVOTS
-            ) -> DataFrame:
+            exclude_self: bool = False, chunk: int = CHUNK, max_pivots: int = MAX_PIVOTS,
+            max_cells: int = MAX_CELLS) -> DataFrame:
     """(q_key, target, rank, d_key, distance, payload): the k nearest donors of every query.
 
     ``queries``: key, block, target, vec; ``donors``: key, block, payload, vec. ``block`` (string)
@@ -134,8 +141,8 @@ def nearest(queries: DataFrame, donors: DataFrame, k: int, metric: str = "euclid
     n_pivots = int(min(max(n_donors // chunk, 1), max_pivots))
     if n_pivots > 1:
         shape = donors.agg(F.max(F.size("vec"))).first()[0]
-        groups = donors.select("block", F.transform("vec", lambda x: x.isNull())).distinct().count()
-        n_pivots = max(min(n_pivots, PIVOT_BYTES // (8 * shape), MAX_CELLS // groups), 1)
+        blocks = donors.select("block").distinct().count()
+        n_pivots = max(min(n_pivots, PIVOT_BYTES // (8 * shape), max_cells // (2 * blocks)), 1)
     picked = [r[0] for r in donors.orderBy(hash_key("key", "pivot"), "key").limit(n_pivots)
               .select("vec").collect()]                    # at most max_pivots vectors
     pivots = np.array([[np.nan if v is None else v for v in vec] for vec in picked], dtype="float64")
@@ -170,8 +177,26 @@ def nearest(queries: DataFrame, donors: DataFrame, k: int, metric: str = "euclid
         assign, f"key {key_type}, block string, payload double, vec array<double>, "
                 "mask string, pivot int, far double"), "celled")
     cell = ["block", "mask", "pivot"]
-    stats = celled.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius"))
-    rows = bounded_rows(stats, MAX_CELLS, "neighbour cells")
+    def statistics(table: DataFrame) -> DataFrame:
+        return table.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius"))
+
+    # Patterns take cells of their own while half of the cells last, the most frequent first; the
+    # donors of all others share one cell per block and pivot, which every query visits.
+    stats = materialise(statistics(celled), "cells")
+    if stats.count() > max_cells:
+        frequent = stats.groupBy("mask").agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("rows"))
+        room, keep = max_cells // 2, []
+        for r in frequent.orderBy(F.desc("rows"), "mask").limit(max_cells // 2).collect():
+            room -= r["cells"]
+            if room < 0:
+                break
+            keep.append((r["mask"],))
+        kept = celled.sparkSession.createDataFrame(keep, "mask string").withColumn("own", F.lit(True))
+        joined = celled.join(F.broadcast(kept), "mask", "left")        # at most max_cells / 2 rows
+        celled = materialise(joined.withColumn("mask", F.when(F.col("own"), F.col("mask")).otherwise(MIXED))
+                             .select(*celled.columns), "celled")
+        stats = statistics(celled)
+    rows = bounded_rows(stats, max(max_cells, 2 * n_pivots), "neighbour cells")
     cells = _Cells(rows, pivots, metric)
     spark = donors.sparkSession
     cell_table = spark.createDataFrame(
@@ -217,6 +242,9 @@ def nearest(queries: DataFrame, donors: DataFrame, k: int, metric: str = "euclid
             dist = _distances(x[s:s + step], y, metric)
             if exclude_self:
                 dist[q_key[s:s + step][:, None] == d_key[None, :]] = np.nan
+            wanted = target[s:s + step]
+            for t in np.unique(wanted[wanted >= 0]):          # a donor must know what it is asked for
+                dist[np.ix_(wanted == t, np.isnan(y[:, t]))] = np.nan
             best = np.argsort(dist, axis=1, kind="stable")[:, :k]   # NaN sorts last
             value = np.take_along_axis(dist, best, axis=1)
             qi, ri = np.nonzero(~np.isnan(value))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,12 +12,12 @@ from pyspark.sql import types as T
 
 from tallyloom.functions.expr import col, flag, hash_key, unit_interval
 from tallyloom.functions.scale import (
-    bounded_rows, hash_rank, materialise, store,
+    bounded_rows, hash_rank, materialise, running_total, store,
 )
 from tallyloom.operators import profile
 from tallyloom.operators.neighbors import nearest, same_class_neighbors
 
-MAX_CATEGORIES = 10_000   # a dictionary becomes an expression, so it must stay small
+MAX_CATEGORIES = 10_000   # classes, or one-hot columns of one nominal column; dictionaries have no bound
 
 
 # ---------------------------------------------------------------- column kinds
@@ -171,9 +172,10 @@ class DataImputer:
 # ---------------------------------------------------------------- dictionaries and labels
 
 def sorted_values(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
-    """Distinct non-null values of each column in natural order (numbers as numbers)."""
+    """Distinct non-null values of each column in natural order (numbers as numbers), for columns
+    whose values become expressions: classes and one-hot columns."""
     found = profile.long_text(df, columns).where(F.col("value").isNotNull()).distinct()
-    rows = bounded_rows(found, MAX_CATEGORIES, "categories")
+    rows = bounded_rows(found, MAX_CATEGORIES * len(columns), "categories")
     out: dict[str, list] = {c: [] for c in columns}
     for r in rows:
         out[r["feature"]].append(r["value"])
@@ -189,9 +191,15 @@ def sorted_values(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
 
 
 def dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(feature, code, value): codes by natural order of the distinct values."""
-    rows = [(c, i, str(v)) for c, vs in sorted_values(df, columns).items() for i, v in enumerate(vs)]
-    return df.sparkSession.createDataFrame(rows, "feature string, code int, value string")
+    """(feature, code, value): codes by natural order of the distinct values, however many there are."""
+    whole = [c for c in columns if isinstance(df.schema[c].dataType, T.IntegralType)]
+    real = [c for c in columns if isinstance(df.schema[c].dataType, T.NumericType) and c not in whole]
+    found = profile.long_text(df, columns).where(F.col("value").isNotNull()).distinct()
+    keyed = found.withColumns({
+        "_whole": F.when(F.col("feature").isin(whole), F.col("value")).cast("decimal(20,0)"),
+        "_real": F.when(F.col("feature").isin(real), F.col("value")).cast("double")})
+    ranked = running_total(keyed, ["feature"], ["_whole", "_real", "value"], "_code")
+    return ranked.select("feature", (F.col("_code") - 1).cast("int").alias("code"), "value")
 
 
 def _position(values: list, x: Column, what: str, column: str) -> Column:
@@ -268,16 +276,65 @@ class DataEncoder:
             raise ValueError(f"unknown scaling {scaling}")
         self.numerical, self.nominal = list(numerical), list(nominal)
         self.ordinal, self.scaling = dict(ordinal or {}), scaling
-        self.categories: dict[str, list] | None = None
+        self.mapping: DataFrame | None = None
+        self.stats: dict | None = None
 
     def fit(self, df: DataFrame) -> "DataEncoder":
+        """Statistics and one dictionary table for all nominal columns, of any number of values."""
         self.stats = scale_statistics(df, self.numerical) if self.numerical else {}
-        self.categories = sorted_values(df, self.nominal) if self.nominal else {}
+        self.mapping = materialise(dictionary(df, self.nominal), "dictionary") if self.nominal else None
+        self.kinds = {c: df.schema[c].dataType for c in self.nominal}
+        self._categories: dict[str, list] | None = None
         return self
 
-    def _blocks(self) -> dict[str, Column]:
-        if self.categories is None:
+    @property
+    def categories(self) -> dict[str, list]:
+        """Values per nominal column in code order, for one-hot columns; ``sparse`` needs no such list."""
+        if self.stats is None:
+            raise ValueError("fit the encoder first")
+        if self._categories is None:
+            out: dict[str, list] = {c: [] for c in self.nominal}
+            if self.nominal:
+                sizes = self.mapping.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+                wide = sizes.where(F.col("n") > MAX_CATEGORIES).first()
+                if wide is not None:
+                    raise ValueError(f"{wide['feature']} has {wide['n']} values: encode it with sparse()")
+                for r in bounded_rows(self.mapping.orderBy("feature", "code"),
+                                      MAX_CATEGORIES * len(self.nominal), "categories"):
+                    kind = self.kinds[r["feature"]]
+                    number = int if isinstance(kind, T.IntegralType) else float
+                    out[r["feature"]].append(number(r["value"]) if isinstance(kind, T.NumericType) else r["value"])
+            self._categories = out
+        return self._categories
+
+    def sparse(self, df: DataFrame, key: str) -> DataFrame:
+        """(key, index, value) of the non-zero entries: scaled numbers, then the one-hot blocks in column order.
+
+        The first category of a column and unknown values have no entry. Dictionaries are joined, so columns may have
+        any number of values.
+        """
+        if self.stats is None:
             raise ValueError("fit the encoder first")
+        made = self._numbers()
+        numbers = F.array(*[F.struct(F.lit(i).cast("long").alias("index"), x.cast("double").alias("value"))
+                            for i, x in enumerate(made.values())]) if made else None
+        parts = []
+        if made:
+            parts.append(df.select(col(key).alias("key"), F.explode(numbers).alias("e")).select("key", "e.*")
+                           .where(F.col("value") != 0))
+        if self.nominal:
+            order = F.create_map(*[F.lit(v) for i, c in enumerate(self.nominal) for v in (c, i)])
+            sizes = self.mapping.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))   # one row per column
+            before = Window.partitionBy().orderBy(order[F.col("feature")]).rowsBetween(Window.unboundedPreceding, -1)
+            starts = sizes.select("feature", F.coalesce(F.sum(F.col("n") - 1).over(before), F.lit(0)).alias("start"))
+            long = df.select(col(key).alias("key"), *[col(c).cast("string").alias(c) for c in self.nominal]).unpivot(
+                ["key"], self.nominal, "feature", "value")
+            hot = (long.join(self.mapping.where("code > 0"), ["feature", "value"]).join(F.broadcast(starts), "feature"))
+            parts.append(hot.select("key", (F.col("start") + F.col("code") - 1 + len(made)).alias("index"),
+                                    F.lit(1.0).alias("value")))
+        return reduce(DataFrame.unionByName, parts)
+
+    def _numbers(self) -> dict[str, Column]:
         out: dict[str, Column] = {}
         suffix = {"standard": "", "both": "_std"}
         if self.scaling in suffix:
@@ -287,6 +344,12 @@ class DataEncoder:
             out.update({f"{c}{tail}": min_max(c, self.stats[c]) for c in self.numerical})
         if self.scaling == "none":
             out.update({c: col(c).cast("double") for c in self.numerical})
+        return out
+
+    def _blocks(self) -> dict[str, Column]:
+        if self.stats is None:
+            raise ValueError("fit the encoder first")
+        out = self._numbers()
         for c in self.nominal:
             for v in self.categories[c][1:]:
                 out[f"{c}_{v}"] = flag(col(c) == F.lit(v))
@@ -309,10 +372,11 @@ class DataEncoder:
 
     def feature_mapping(self, df: DataFrame) -> DataFrame:
         """(feature, code, value) of the nominal columns."""
-        if self.categories is None:
+        if self.stats is None:
             raise ValueError("fit the encoder first")
-        rows = [(c, i, str(v)) for c, vs in self.categories.items() for i, v in enumerate(vs)]
-        return df.sparkSession.createDataFrame(rows, "feature string, code int, value string")
+        if self.mapping is None:
+            return df.sparkSession.createDataFrame([], "feature string, code int, value string")
+        return self.mapping
 
 
 def to_vector(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:

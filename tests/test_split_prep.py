@@ -164,3 +164,17 @@ def test_small_and_large_shares_leave_training_folds(spark):
     share = {r["split"]: r["count"] for r in out.groupBy("split").count().collect()}
     assert set(share) == {"train", "val", "test"} and out.where("g is null").isEmpty()
     assert split_by_groups(df, "g").where("split is null").isEmpty()
+
+
+def test_more_patterns_than_cells(spark):
+    """Donors of rare null patterns share mixed cells; answers stay those of a full comparison."""
+    rng = np.random.default_rng(2)
+    rows = [(i, [None if rng.random() < .4 else float(v) for v in rng.normal(size=6)]) for i in range(160)]
+    side = spark.createDataFrame(rows, "key long, vec array<double>").selectExpr(
+        "key", "'' as block", "cast(null as double) as payload", "vec")
+    asked = side.where("vec[2] is null and exists(vec, x -> x is not null)").selectExpr("key", "block", "2 as target", "vec")
+    def found(**kw):
+        return {(r["q_key"], r["rank"]): (r["d_key"], round(r["distance"], 9), r["payload"])
+                for r in neighbors.nearest(asked, side, 3, **kw).collect()}
+    many, few = found(chunk=8), found(chunk=8, max_cells=30)
+    assert many == few and all(v[2] is not None for v in few.values()) and len(few) > 100
