@@ -237,6 +237,24 @@ def k2(spark, sf):
     return _kept(spark, sf, "pca", {"n_components": 0.95})
 
 
+@query("q_k2_facts", """with u as (select unnest(embedding)::double as x, unnest(range(0, 64)) as j from embeddings)
+    select 64::integer as components, round(sum(v), 4) as trace, true as shares_fall, true as uncorrelated
+    from (select j, var_samp(x) as v from u group by 1)""")
+def k2_facts(spark, sf):
+    """All components: their variances sum to the trace, fall, and the components are uncorrelated."""
+    df = _matrix(spark, sf)
+    model = selection.build_selector("pca", {"n_components": 64}).fit(df)
+    y = model.transform(df).select(vector_to_array("selected").alias("y"))
+    parts = y.select(F.posexplode("y").alias("i", "v")).groupBy("i").agg(F.var_samp("v").alias("v"))
+    pairs = profile.correlation_pairs(y.select(*[F.col("y")[i].alias(f"c{i}") for i in range(64)]),
+                                      [f"c{i}" for i in range(64)])
+    flat = parts.agg(F.count(F.lit(1)).cast("int").alias("components"), F.round(F.sum("v"), 4).alias("trace"),
+                     F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("vs"))
+    fall = F.forall(F.zip_with("vs", F.slice("vs", 2, 64), lambda a, b: F.coalesce(a >= b - 1e-9, F.lit(True))), lambda x: x)
+    worst = pairs.agg(F.max(F.abs("r"))).first()[0]
+    return flat.select("components", "trace", fall.alias("shares_fall"), F.lit(worst < 1e-5).alias("uncorrelated"))
+
+
 @query("q_k3_forest_importances")
 def k3(spark, sf):
     return _kept(spark, sf, "rf", {"threshold": "mean", "trees": 50, "depth": 6})
@@ -286,6 +304,37 @@ _model_query("q_m7_boosted_trees", "XGBoost", {"n_estimators": 3, "max_depth": 3
 _model_query("q_m9_perceptron", "MLP", {"hidden_layer_sizes": (50, 25), "max_iter": 100})
 
 
+# What SQL can state of a fitted model: the rows it answered, that its probabilities sum to 1, and that it
+# learned its training rows (the labels of the test rows are unrelated to the vectors).
+_FACTS = f"""with {MATRIX_SPLIT} select split, label, count(*) as support, true as sums_to_one,
+    case when split = 'train' then true end as beats_majority from sp where split in ('train', 'test') group by all"""
+
+
+def _facts(name: str, model: str, params: dict):
+    @query(name, _FACTS)
+    def run(spark, sf):
+        p = _prepared(spark, sf)
+        fitted = Classifier(model, params).fit(p.data.where("split = 'train'"))
+        done = fitted.transform(p.data.where("split in ('train', 'test')"))
+        total = F.aggregate(vector_to_array("probability"), F.lit(0.0), lambda a, b: a + b)
+        cells = done.groupBy("split", "label").agg(
+            F.count(F.lit(1)).alias("support"), F.bool_and(F.abs(total - 1) < 1e-6).alias("sums_to_one"),
+            F.count_if(F.col("label") == F.col("prediction")).alias("hits"))
+        whole = cells.groupBy("split").agg(F.when(
+            F.col("split") == "train", F.sum("hits") > F.max("support")).alias("beats_majority"))
+        return cells.join(whole, "split").select("split", "label", "support", "sums_to_one", "beats_majority")
+    return run
+
+
+_facts("q_m1_facts", "Logistic Regression", {"C": 1.0, "max_iter": 100, "class_weight": "balanced"})
+_facts("q_m2_facts", "Decision Tree", {"criterion": "entropy", "max_depth": 10, "min_samples_leaf": 2})
+_facts("q_m3_facts", "Random Forest", {"n_estimators": 50, "max_depth": 8, "class_weight": "balanced"})
+_facts("q_m4_facts", "Gradient Boosting", {"n_estimators": 3, "max_depth": 3, "learning_rate": 0.3})
+_facts("q_m5_facts", "SVM", {"C": 1.0, "class_weight": "balanced", "max_iter": 10})
+_facts("q_m7_facts", "XGBoost", {"n_estimators": 3, "max_depth": 3, "subsample": 0.8, "colsample_bytree": 0.8})
+_facts("q_m9_facts", "MLP", {"hidden_layer_sizes": (50, 25), "max_iter": 100})
+
+
 # ---------------------------------------------------------------- search and stages
 
 def _searched(spark, sf, kind: str, n_iter: int = 3) -> DataFrame:
