@@ -3,21 +3,20 @@
 A document is the set of its distinct five-word shingles. Two sets link when 100 * common >= ``PERCENT`` *
 union. Documents with equal sets are one *node* from the first step on.
 
-1. *First order.* Tokens in the order of their hash: of n tokens the first n - ceil(0.8 n) + L are looked at, L =
-   n / 10; two linked sets share at least L of them (L of the smaller set). A node with fewer shared tokens
-   than that has no partner and is out: prose without a near copy ends here.
-2. *Second order.* Those tokens by document frequency, rare ones first. Linked nodes share a token among
-   the first p - L + 1, and at the first shared token enough tokens are left (positions and sizes are checked in the join).
-3. *Third and fourth order.* Two more hash orders over the whole sets: a candidate pair must share a
-   token among the first n - ceil(0.8 n) + 1 under each. Only pairs that pass all are verified, on the whole sets.
+1. *First order:* by document frequency, rare tokens first. A node whose tokens are not shared with
+   another one by 80 percent has no partner and is out: prose without a near copy ends here. Linked nodes share a
+   token among the first n - ceil(0.8 n) + 1, and enough tokens are left from the first shared one on (sizes and
+   positions are checked in the join). Passages that many documents share are frequent, hence last.
+2. *Further orders:* two hash orders. A candidate pair must share a token among the first n - ceil(0.8 n) + 1 under
+   each. Only pairs that pass all orders are verified, on the whole sets.
 
 Pairs are not spelled out inside a large group of near copies. First every node is compared with one
 pivot per token, the node with the most shared tokens; verified links are contracted to components, and only
-then pairs of nodes in different components that share a token of the second order are compared. What is left unlinked
+then pairs of nodes in different components that share a token of their prefixes are compared. What is left unlinked
 after that has no link, so the components are those of all links.
 
 Tokens in very many nodes are found beforehand (at most ``HOT_TOKENS``, a proven bound) and placed last in
-the second order without meeting in one bucket.
+the first order without meeting in one bucket.
 
 Sets are known by a 64-bit hash and their size, tokens by 64 bits (40 inside one verified pair).
 
@@ -47,8 +46,8 @@ from tallyloom.llm.substrings import mix
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 PERCENT = 80
-BUCKET_BYTES = 16 << 20    # of text whose tokens meet in one bucket
-FLUSH_BYTES = 32 << 20
+BUCKET_BYTES = 8 << 20     # of text whose tokens meet in one bucket
+FLUSH_BYTES = 16 << 20
 BLOCK_BYTES = 4 << 20
 HOT_LEAST = 1000           # nodes that make a token hot at least
 HOT_TOKENS = 200_000       # tokens that can be hot at most
@@ -61,15 +60,6 @@ def need(n, percent: int = PERCENT):
     return -(-percent * n // 100)
 
 
-def shared_least(n):
-    """Tokens that a set of n and a larger one share in the first order at least."""
-    return np.maximum(1, n // 10)
-
-
-def looked_at(n, percent: int = PERCENT):
-    return n - need(n, percent) + shared_least(n)
-
-
 # ------------------------------------------------------------------ tasks
 
 def _blocks(b: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
@@ -95,10 +85,10 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Flush:
-    """First-order tokens of the distinct sets of a stretch of texts."""
+    """Tokens of the distinct sets of a stretch of texts."""
 
-    def __init__(self, percent: int):
-        self.percent, self.seen, self.tokens, self.keys, self.sizes, self.counts, self.held = percent, set(), [], [], [], [], 0
+    def __init__(self):
+        self.seen, self.tokens, self.keys, self.sizes, self.held = set(), [], [], [], 0
 
     def add(self, texts: list[bytes]) -> None:
         token, counts = shingle_sets(texts)
@@ -107,43 +97,39 @@ class _Flush:
         for i, (k, n) in enumerate(zip(keys.tolist(), counts.tolist())):
             if n and (k, n) not in self.seen:
                 self.seen.add((k, n))
-                p = int(looked_at(n, self.percent))
-                self.tokens.append(token[at[i]:at[i] + p])
+                self.tokens.append(token[at[i]:at[i] + n])
                 self.keys.append(k)
                 self.sizes.append(n)
-                self.counts.append(p)
         self.held += sum(map(len, texts))
 
     def flat(self):
         """(token, row) with row an index into keys and sizes."""
-        return np.concatenate(self.tokens), np.repeat(np.arange(len(self.keys)), self.counts)
+        return np.concatenate(self.tokens), np.repeat(np.arange(len(self.keys)), self.sizes)
 
 
-def _flushes(batches, percent: int) -> Iterator[_Flush]:
-    now = _Flush(percent)
+def _flushes(batches) -> Iterator[_Flush]:
+    now = _Flush()
     for b in batches:
         for _, texts in _blocks(b):
             now.add(texts)
             if now.held >= FLUSH_BYTES:
                 if now.keys:
                     yield now
-                now = _Flush(percent)
+                now = _Flush()
     if now.keys:
         yield now
 
 
-def _common_counter(percent: int):
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tokens held twice or more in a flush, with that count; a row with token null counts the flush."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for flush in _flushes(batches, percent):
-            token = np.sort(flush.flat()[0])
-            at = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            n = np.diff(np.append(at, len(token)))
-            keep = n > 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([None, *token[at][keep].view(np.int64).tolist()], pa.int64()),
-                 pa.array([len(token), *n[keep].tolist()], pa.int64())], ["token", "n"])
-    return run
+    for flush in _flushes(batches):
+        token = np.sort(flush.flat()[0])
+        at = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        n = np.diff(np.append(at, len(token)))
+        keep = n > 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([None, *token[at][keep].view(np.int64).tolist()], pa.int64()),
+             pa.array([len(token), *n[keep].tolist()], pa.int64())], ["token", "n"])
 
 
 def _packed(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -184,11 +170,11 @@ def _home(keys: np.ndarray, parts: int) -> np.ndarray:
     return (mix(keys.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
 
-def _poster(parts: int, hot, percent: int):
-    """First-order tokens to buckets; hot tokens, known to be shared, straight to the node's home (-1 - home)."""
+def _poster(parts: int, hot):
+    """Tokens to buckets; hot tokens, known to be shared, straight to the node's home (-1 - home)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.sort(np.array(hot.value, np.int64).view(np.uint64))
-        for flush in _flushes(batches, percent):
+        for flush in _flushes(batches):
             token, row = flush.flat()
             keys, sizes = np.array(flush.keys, np.int64), np.array(flush.sizes, np.int64)
             spot = np.minimum(np.searchsorted(often, token), max(0, len(often) - 1))
@@ -229,7 +215,7 @@ def _frequencies(parts: int):
     return run
 
 
-_PREFIX = "token long, k long, n long, place int, seen int, shared int"
+_PREFIX = "token long, k long, n long, place int, shared int"
 
 
 def _prefixes(percent: int):
@@ -246,14 +232,12 @@ def _prefixes(percent: int):
         shared = np.diff(np.append(at, len(k)))
         group = np.cumsum(node) - 1
         size = n[at]
-        seen, least = looked_at(size, percent), shared_least(need(size, percent))
-        place = (seen - shared)[group] + np.arange(len(k)) - at[group]       # tokens of one node alone come first
-        keep = ((shared >= least)[group]) & (place < (seen - least + 1)[group])
+        place = (size - shared)[group] + np.arange(len(k)) - at[group]       # tokens of one node alone come first
+        keep = place < (size - need(size, percent) + 1)[group]
         # hot tokens get numbers of their own, below all others
         token = np.where(often == 0, -1 - token, token)
         return pa.table({"token": pa.array(token[keep], pa.int64()), "k": pa.array(k[keep], pa.int64()),
                          "n": pa.array(n[keep], pa.int64()), "place": pa.array(place[keep], pa.int32()),
-                         "seen": pa.array(seen[group][keep], pa.int32()),
                          "shared": pa.array(shared[group][keep], pa.int32())})
     return run
 
@@ -301,12 +285,12 @@ def _verifier(percent: int):
 
 # ------------------------------------------------------------------ the job
 
-def _hot_tokens(rows: DataFrame, percent: int) -> list[int]:
+def _hot_tokens(rows: DataFrame) -> list[int]:
     """Every token in at least max(HOT_LEAST, tokens / HOT_TOKENS, 4 * flushes) nodes is among them.
 
     A flush only reports tokens it saw twice, so a count may miss one node per flush, no more.
     """
-    counted = materialise(rows.mapInArrow(_common_counter(percent), "token long, n long"), "common_tokens")
+    counted = materialise(rows.mapInArrow(_common, "token long, n long"), "common_tokens")
     flushes, total = counted.where("token is null").agg(F.count(F.lit(1)), F.sum("n")).first()
     bar = max(HOT_LEAST, -(-(total or 0) // HOT_TOKENS), 4 * flushes) - flushes
     hot = counted.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= bar)
@@ -332,8 +316,8 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _plausible(percent: int) -> Column:
     """Size and position filters for prefix rows x and y of one token."""
     small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    rest = F.least(F.col("x.seen") - F.col("x.place"), F.col("y.seen") - F.col("y.place"))
-    return (small * 100 >= large * percent) & (rest >= F.greatest(F.lit(1), F.floor(small / 10)))
+    rest = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    return (small * 100 >= large * percent) & (rest * (100 + percent) >= (small + large) * percent)
 
 
 def _ordered() -> list[Column]:
@@ -350,8 +334,8 @@ def node_components(docs: DataFrame, slim: DataFrame, text: str, id_col: str, pe
     rows = docs.select(docs[id_col].alias("id"), text_of(docs[text]).alias("text"))
     total = docs.agg(F.sum(F.octet_length(docs[text]).cast("bigint"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
-    hot = spark.sparkContext.broadcast(_hot_tokens(rows, percent))
-    posted = rows.mapInArrow(_poster(parts, hot, percent), PACKED)
+    hot = spark.sparkContext.broadcast(_hot_tokens(rows))
+    posted = rows.mapInArrow(_poster(parts, hot), PACKED)
     shared = posted.groupBy("bucket").applyInArrow(_frequencies(parts), PACKED)
     prefixes = materialise(shared.groupBy("bucket").applyInArrow(_prefixes(percent), _PREFIX), "prefixes")
 
@@ -361,9 +345,9 @@ def node_components(docs: DataFrame, slim: DataFrame, text: str, id_col: str, pe
     found = rows.join(asked, rows.id.eqNullSafe(asked.least)).select("id", "text", "k", "n")
     sets = materialise(found.mapInArrow(_setter(percent), "k long, n long, tokens binary, orders binary"), "sets")
 
-    central = F.struct((F.col("shared") / F.col("seen")).alias("part"), (-F.col("k")).alias("by"), "k", "n", "place", "seen")
+    central = F.struct((F.col("shared") / F.col("n")).alias("part"), (-F.col("k")).alias("by"), "k", "n", "place")
     pivots = materialise(prefixes.groupBy("token").agg(F.max(central).alias("m"), F.count(F.lit(1)).alias("held"))
-                                 .where("held > 1").select("token", "m.k", "m.n", "m.place", "m.seen"), "pivots")
+                                 .where("held > 1").select("token", "m.k", "m.n", "m.place"), "pivots")
     star = (prefixes.alias("x").join(pivots.alias("y"), "token")
                     .where((F.col("x.k") != F.col("y.k")) & _plausible(percent)).select(*_ordered()).distinct())
     star = materialise(star, "star")
