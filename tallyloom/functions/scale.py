@@ -9,6 +9,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,11 +24,12 @@ _local_dirs: dict[str, str] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only in local mode."""
+    """The shared folder named by ``spark.checkpoint.dir``; a local one only where the session says
+    that its one process is all there is. Written tables stay until that folder is cleared."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", None) or ""):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     app = spark.conf.get("spark.app.id", "local")
     if app not in _local_dirs:
@@ -113,7 +115,7 @@ def running_total(df: DataFrame, by: list[str], order: list, name: str = "_upto"
     if _largest_group(df, by) <= limit:
         w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(name, F.sum(amount).over(w))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS_PER_TASK))
     ranged = materialise(df.repartitionByRange(parts, *by, *order)
                            .withColumn("_range", F.spark_partition_id()), "ranged")
     totals = ranged.groupBy(*by, "_range").agg(F.sum(amount).alias("_t"))

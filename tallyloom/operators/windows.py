@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tallyloom.functions.expr import flag, safe_div
-from tallyloom.functions.scale import join_small, materialise, split_hot
+from tallyloom.functions.scale import ROWS_PER_TASK, join_small, materialise, split_hot
 from tallyloom.operators.features import (
     add_features, clean_numeric, equation_progress, step_verifications, time_efficiency,
 )
@@ -74,7 +74,7 @@ def over_sequences(df: DataFrame, keys: Keys, lookback: int,
 def _with_halo(hot: DataFrame, keys: Keys, lookback: int, mark: Column | None) -> DataFrame:
     """Cut hot users into ranges of their order and prepend to each the rows it looks back to."""
     columns = hot.columns
-    parts = int(hot.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(hot.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-hot.count() // ROWS_PER_TASK))
     ranged = materialise(
         hot.repartitionByRange(parts, keys.user, *keys.order)
            .withColumn("_part", F.spark_partition_id()), "history")
