@@ -33,17 +33,21 @@ def _positions(h: Column, bits: int) -> list[Column]:
     return [F.pmod(F.xxhash64(h, F.lit(i)), F.lit(bits)) + F.lit(i * bits) for i in range(HASHES)]
 
 
-def repeated_bitmap(df: DataFrame, h: str, bits: int) -> DataFrame:
-    """(bucket, bitmap) of the positions that more than one row hits."""
+def hit_bitmap(df: DataFrame, h: str, bits: int, least: int) -> DataFrame:
+    """(bucket, bitmap) of the positions that ``least`` rows or more hit."""
     hit = (df.select(F.explode(F.array(*_positions(F.col(h), bits))).alias("pos"))
-             .groupBy("pos").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+             .groupBy("pos").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least))
     return (hit.groupBy((F.shiftright("pos", 15)).alias("bucket"))
                .agg(F.bitmap_construct_agg(F.col("pos") % BUCKET).alias("bitmap")))
 
 
 def flag_repeats(df: DataFrame, h: str, bits: int) -> DataFrame:
     """Adds ``maybe``: false only for rows whose hash certainly occurs once."""
-    bitmap = materialise(repeated_bitmap(df, h, bits), "bloom")
+    return probe_bitmap(df, h, materialise(hit_bitmap(df, h, bits, 2), "bloom"), bits)
+
+
+def probe_bitmap(df: DataFrame, h: str, bitmap: DataFrame, bits: int) -> DataFrame:
+    """Adds ``maybe``: false only for rows with a position that is not in the stored bitmap."""
     maybe = F.lit(True)
     for i, pos in enumerate(_positions(F.col(h), bits)):
         side = F.broadcast(bitmap.select(F.col("bucket").alias(f"_b{i}"),
@@ -52,7 +56,7 @@ def flag_repeats(df: DataFrame, h: str, bits: int) -> DataFrame:
                 .join(side, F.shiftright(f"_p{i}", 15) == F.col(f"_b{i}"), "left"))
         byte = F.expr(f"cast(conv(hex(substring(_m{i}, cast((_p{i} % {BUCKET}) div 8 as int) + 1, 1)), "
                       f"16, 10) as int)")
-        bit = F.expr(f"shiftright(1, 0) * cast(pow(2, _p{i} % 8) as int)")
+        bit = F.expr(f"cast(pow(2, _p{i} % 8) as int)")
         maybe = maybe & F.coalesce(byte.bitwiseAND(bit) != 0, F.lit(False))
     extra = [c for i in range(HASHES) for c in (f"_p{i}", f"_b{i}", f"_m{i}")]
     return df.withColumn("maybe", maybe).drop(*extra)

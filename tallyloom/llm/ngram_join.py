@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.scale import materialise
 from tallyloom.llm.common import text_of
+from tallyloom.llm.exact_dedup import filter_bits, hit_bitmap, probe_bitmap
 from tallyloom.llm.graph import components
 from tallyloom.llm.shingles import narrow, set_keys, shingle_sets, smallest, widen
 from tallyloom.llm.substrings import mix
@@ -47,7 +48,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 PERCENT = 80
 BUCKET_BYTES = 8 << 20     # of text whose tokens meet in one bucket
-FLUSH_BYTES = 16 << 20
+FLUSH_BYTES = 8 << 20
 BLOCK_BYTES = 4 << 20
 HOT_LEAST = 1000           # nodes that make a token hot at least
 HOT_TOKENS = 200_000       # tokens that can be hot at most
@@ -342,7 +343,11 @@ def node_components(docs: DataFrame, slim: DataFrame, text: str, id_col: str, pe
     nodes = prefixes.select("k", "n").distinct()
     least = slim.groupBy("k", "n").agg(F.min("doc_id").alias("least"))
     asked = materialise(least.join(nodes, ["k", "n"]).select("k", "n", "least"), "asked")
-    found = rows.join(asked, rows.id.eqNullSafe(asked.least)).select("id", "text", "k", "n")
+    # most texts have no partner: a bitmap of the wanted ids (at most 64 MB) keeps them out of the shuffle
+    bits = filter_bits(asked.count())
+    wanted = materialise(hit_bitmap(asked.select(F.xxhash64("least").alias("h")), "h", bits, 1), "wanted")
+    near = probe_bitmap(rows.withColumn("h", F.xxhash64("id")), "h", wanted, bits).where("maybe")
+    found = near.join(asked, near.id.eqNullSafe(asked.least)).select("id", "text", "k", "n")
     sets = materialise(found.mapInArrow(_setter(percent), "k long, n long, tokens binary, orders binary"), "sets")
 
     central = F.struct((F.col("shared") / F.col("n")).alias("part"), (-F.col("k")).alias("by"), "k", "n", "place")
