@@ -49,7 +49,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 PERCENT = 80
 BUCKET_BYTES = 8 << 20     # of text whose tokens meet in one bucket
 FLUSH_BYTES = 8 << 20
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20       # of text hashed at once; numpy needs about 50 times that
 HOT_LEAST = 1000           # nodes that make a token hot at least
 HOT_TOKENS = 200_000       # tokens that can be hot at most
 ORDERS = (1, 2)            # salts of the further hash orders

@@ -20,6 +20,7 @@ one. Other columns are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import re
 import sys
 import zlib
@@ -40,9 +41,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 CAPACITY = 1024
 GRAIN = 8
 CLOSING = 0
-CACHE_WORDS = 500_000
-BLOCK_BYTES = 4 << 20
+CACHE_WORDS = 300_000
+BLOCK_BYTES = 2 << 20
 MAX_ROUNDS = 20_000
+SPECIAL = ("<|endoftext|>",)   # fixed value: strings of the tokenizer's special tokens
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 # white space that is doubled or neither blank nor line feed, and the mark of a text's beginning
 ODD = (r"[ \n][ \n]|[\t\r\f\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -66,26 +68,28 @@ class WordTokenizer:
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
-
-        def place(name):
-            return os.path.join(folder, name) if folder else public_tokenizers.path(name)
 
-        with open(place(RANKS), "rb") as f:
+        self.place = lambda name: os.path.join(folder, name) if folder else public_tokenizers.path(name)
+        with open(self.place(RANKS), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.words = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
                                        special_tokens={})
-        self.whole = Tokenizer.from_file(place(VOCABULARY))
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.odd = "|".join([ODD, *[re.escape(t) for t in self.special]])
+        self.odd = "|".join([ODD, *[re.escape(t) for t in SPECIAL]])
         self.line = self.words.encode_ordinary("\n")[0]
         self.cache: dict[str, bytes] = {}
 
+    @functools.cached_property
+    def whole(self):
+        """The tokenizer file itself, read only for texts with a special token's string."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.place(VOCABULARY))
+
     def _ids(self, text: str) -> bytes:
         return np.array(self.words.encode_ordinary(text), "<u4").tobytes()
 
     def plain(self, text: str) -> bytes:
-        if any(t in text for t in self.special):
+        if any(t in text for t in SPECIAL):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return self._ids(text)
 

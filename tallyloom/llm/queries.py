@@ -173,12 +173,42 @@ def op6(spark, sf):
     return exact_dedup.exact_groups(table(spark, sf, "documents"))
 
 
-@query("op7_multi_order_join")
+@query("op7_multi_order_join", r"""
+with recursive d as (
+  select row_number() over () rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as (
+  select distinct rid, g from (
+    select rid, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+      else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) end) g from d)),
+n as (select rid, count(*) n from s group by 1),
+p as (select a.rid x, b.rid y, count(*) c from s a join s b on a.g = b.g and a.rid < b.rid group by 1, 2),
+e as (
+  select x, y from p join n nx on nx.rid = x join n ny on ny.rid = y where 100 * c >= 80 * (nx.n + ny.n - c)),
+both_ways as (select x, y from e union all select y, x from e),
+reach(rid, here) as (
+  select rid, rid from d union select rid, y from reach join both_ways on x = here)
+select d.doc_id, coalesce(any_value(n.n), 0) n_shingles,
+  case when any_value(n.n) is null then d.doc_id else min(o.doc_id) end component_id
+from d join reach r using (rid) join d o on o.rid = r.here left join n on n.rid = d.rid group by d.rid, d.doc_id
+""")
 def op7(spark, sf):
     return ngram_join.ngram_components(table(spark, sf, "documents"))
 
 
-@query("op8_chat_fingerprint")
+@query("op8_chat_fingerprint", r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') r, coalesce(text, '') x from conversations
+  union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+select conv_id, count(*) n_turns,
+  sha256(string_agg(r || chr(10) || x || chr(10), '' order by turn nulls first, r, x)) turns_sha256,
+  coalesce(sum(length(x)) filter (r = 'assistant'), 0)::bigint loss_chars,
+  sha256(coalesce(string_agg(x, '' order by turn nulls first, x) filter (r = 'assistant'), '')) loss_sha256,
+  sum(24 + length(x) + len(regexp_extract_all(x, '<\\*\|')) + length(r) + len(regexp_extract_all(r, '<\\*\|'))
+      + 2 * len(regexp_extract_all(r, '[%\n]')))::bigint formatted_chars
+from t group by conv_id
+""")
 def op8(spark, sf):
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     probe = "<|im_end|><|im_start|>assistant ok"
