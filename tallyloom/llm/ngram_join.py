@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.scale import materialise
-from tallyloom.llm.common import text_of
+from tallyloom.llm.common import rows_packed, text_of
 from tallyloom.llm.exact_dedup import filter_bits, hit_bitmap, probe_bitmap
 from tallyloom.llm.graph import components
 from tallyloom.llm.shingles import narrow, set_keys, shingle_sets, smallest, widen
@@ -78,11 +78,14 @@ def _blocks(b: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
+        at = 0
         for ids, texts in _blocks(b):
             token, counts = shingle_sets(texts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, b.column("id").type), pa.array(counts, pa.int64()),
-                 pa.array(set_keys(token, counts).view(np.int64), pa.int64())], ["doc_id", "n", "k"])
+                 pa.array(set_keys(token, counts).view(np.int64), pa.int64()), b.column("h").slice(at, len(ids))],
+                ["doc_id", "n", "k", "h"])
+            at += len(ids)
 
 
 class _Flush:
@@ -376,11 +379,17 @@ def node_components(docs: DataFrame, slim: DataFrame, text: str, id_col: str, pe
     return components(linked.unionByName(more))
 
 
+def _sized(docs: DataFrame, text: str, id_col: str) -> DataFrame:
+    """Per row: doc_id, size and hash of its set (n, k), hash of its text (h)."""
+    rows = docs.select(docs[id_col].alias("id"), text_of(docs[text]).alias("text"),
+                       F.xxhash64(text_of(docs[text])).alias("h"))
+    kind = rows.schema["id"].dataType.simpleString()
+    return materialise(rows.mapInArrow(_sizes, f"doc_id {kind}, n long, k long, h long"), "sizes")
+
+
 def ngram_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
-    rows = docs.select(docs[id_col].alias("id"), text_of(docs[text]).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    slim = materialise(rows.mapInArrow(_sizes, f"doc_id {kind}, n long, k long"), "sizes")
+    slim = _sized(docs, text, id_col)
     roots = node_components(docs, slim, text, id_col, percent)
     nodes = slim.where("n > 0").groupBy("k", "n").agg(F.min("doc_id").alias("least"))
     placed = nodes.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
@@ -395,11 +404,35 @@ def ngram_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
 
 
 def drop_near(docs: DataFrame, text: str = "text", id_col: str = "doc_id", percent: int = PERCENT) -> DataFrame:
-    """The documents with one left of each component, the one with the smallest id; columns as they were.
+    """The documents with exactly one row left of each component; columns as they were.
 
-    Rows without an id go when their component has a document with one.
+    The row with the smallest id stays (no id comes last), then the one with the smallest set key and text hash.
+    Rows are known by id and a 64-bit hash of the text, so rows of other texts without an id or under the
+    same id stay. Of rows that agree in both, one stays, by the hash of its other columns.
     """
-    found = materialise(ngram_components(docs, text, id_col, percent), "components")
-    gone = found.where("component_id is not null and not (doc_id <=> component_id)")
-    gone = materialise(gone.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    slim = _sized(docs, text, id_col)
+    roots = node_components(docs, slim, text, id_col, percent).withColumnRenamed("node", "k")
+    rows = slim.where("n > 0").join(roots, "k", "left").select(
+        "doc_id", "k", "n", "h", F.coalesce("root", "k").alias("root"),
+        F.when(F.col("root").isNull(), F.col("n")).otherwise(F.lit(0)).alias("alone"))    # 0: linked with other sets
+    rows, of = materialise(rows, "members"), ["root", "alone"]
+    several = rows.groupBy(*of).agg(F.count(F.lit(1)).alias("held")).where("held > 1").select(*of)
+    rows = materialise(rows.join(several, of), "several")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k", "n", "h")
+    first = materialise(rows.groupBy(*of).agg(F.min(place).alias("first")), "first")
+    keys = rows.join(first, of).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"),
+                                       place.eqNullSafe(F.col("first")).alias("_kept"))
+    keys = materialise(keys.groupBy("_id", "_h").agg(F.max("_kept").alias("_kept"), F.count(F.lit(1)).alias("_held")),
+                       "keys")
+    gone, twice = keys.where("not _kept or _held > 1"), keys.where("_kept and _held > 1")
+    out = docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]) & (F.xxhash64(text_of(docs[text])) == gone["_h"]),
+                    "left_anti")
+    if twice.isEmpty():
+        return out
+    others = [F.col(f"row.`{c}`") for c in docs.columns if c not in (id_col, text)]
+    rest = F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0)
+    equal = (rows_packed(docs).join(twice, F.col(f"row.`{id_col}`").eqNullSafe(twice["_id"])
+                                    & (F.xxhash64(text_of(F.col(f"row.`{text}`"))) == twice["_h"]))
+                              .select("row", "_id", "_h", rest.alias("rest")))
+    once = materialise(equal, "equal").groupBy("_id", "_h").agg(F.min_by("row", "rest").alias("row"))
+    return out.union(once.select("row.*"))

@@ -204,3 +204,28 @@ def test_a_chain_of_links_is_one_component(spark):
     rows = [(50 - i, " ".join(words[i:i + 60])) for i in range(0, 50)]
     got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.component_id for r in got} == {1}
+
+
+def test_one_row_of_each_component_stays(spark, same):
+    near = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
+    alone = "alpha beta gamma delta epsilon zeta eta theta"
+    twin = "red orange yellow green blue indigo violet black white grey brown pink"
+    rows = [(1, near, "a"), (None, near.upper(), "b"), (None, near + " x", "c"), (7, near + " y", "d"),
+            (7, "nothing like the others stands under this id", "e"),                      # a repeated id
+            (None, "unrelated clean text without an id", "f"), (None, None, "g"), (None, "", "h"), (None, "", "h"),
+            (None, twin, "i"), (None, twin.upper(), "j"), (None, twin + " x", "k"),        # no row has an id
+            (20, alone, "l"), (20, alone.upper(), "m"), (21, alone, "n"),                  # two copies under the smallest id
+            (30, "to be or not to be", "o"), (30, "to be or not to be", "p"), (30, "to be or not to be", "o")]
+    left = ngram_join.drop_near(spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(4)).collect()
+    kept = sorted(r.row for r in left)
+    assert [x for x in kept if x in "abcd"] == ["a"]
+    assert [x for x in kept if x in "efgh"] == ["e", "f", "g", "h", "h"]
+    assert [len([x for x in kept if x in group]) for group in ("ijk", "lmn", "op")] == [1, 1, 1]
+    assert {r.doc_id for r in left if r.row in "lmn"} == {20}
+
+
+def test_unlinked_rows_stay_on_odd_documents(odd_docs):
+    rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
+    left = [(r.doc_id, r.text) for r in ngram_join.drop_near(odd_docs).collect()]
+    assert (None, None) in left and left.count((1, "one two three four five six seven")) == 1
+    assert len(left) == len(rows) - 4
