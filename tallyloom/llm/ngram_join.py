@@ -344,14 +344,19 @@ def node_components(docs: DataFrame, slim: DataFrame, text: str, id_col: str, pe
     prefixes = materialise(shared.groupBy("bucket").applyInArrow(_prefixes(percent), _PREFIX), "prefixes")
 
     nodes = prefixes.select("k", "n").distinct()
-    least = slim.groupBy("k", "n").agg(F.min("doc_id").alias("least"))
-    asked = materialise(least.join(nodes, ["k", "n"]).select("k", "n", "least"), "asked")
-    # most texts have no partner: a bitmap of the wanted ids (at most 64 MB) keeps them out of the shuffle
+    # one id and text hash per node: ids alone may be null or repeated in any number of rows
+    least = slim.groupBy("k", "n").agg(F.min("doc_id").alias("least"),
+                                       F.coalesce(F.min_by("h", "doc_id"), F.min("h")).alias("body"))
+    asked = materialise(least.join(nodes, ["k", "n"]).select("k", "n", "least", "body"), "asked")
+    # most texts have no partner: a bitmap of the wanted rows (at most 64 MB) keeps them out of the shuffle
     bits = filter_bits(asked.count())
-    wanted = materialise(hit_bitmap(asked.select(F.xxhash64("least").alias("h")), "h", bits, 1), "wanted")
-    near = probe_bitmap(rows.withColumn("h", F.xxhash64("id")), "h", wanted, bits).where("maybe")
-    found = near.join(asked, near.id.eqNullSafe(asked.least)).select("id", "text", "k", "n")
+    wanted = materialise(hit_bitmap(asked.select(F.xxhash64("least", "body").alias("h")), "h", bits, 1), "wanted")
+    hashed = rows.withColumn("own", F.xxhash64("text")).withColumn("h", F.xxhash64("id", "own"))
+    near = probe_bitmap(hashed, "h", wanted, bits).where("maybe")
+    found = near.join(asked, near.id.eqNullSafe(asked.least) & (near.own == asked.body)).select("id", "text", "k", "n")
     sets = materialise(found.mapInArrow(_setter(percent), "k long, n long, tokens binary, orders binary"), "sets")
+    if sets.count() > asked.count():      # rows written twice, equal in id and text
+        sets = materialise(sets.dropDuplicates(["k", "n"]), "sets")
 
     central = F.struct((F.col("shared") / F.col("n")).alias("part"), (-F.col("k")).alias("by"), "k", "n", "place")
     pivots = materialise(prefixes.groupBy("token").agg(F.max(central).alias("m"), F.count(F.lit(1)).alias("held"))

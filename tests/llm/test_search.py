@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+import sys
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 
 from tallyloom.llm import ngram_join, substrings, suffix_dedup, url_filter
 
@@ -229,3 +231,32 @@ def test_unlinked_rows_stay_on_odd_documents(odd_docs):
     left = [(r.doc_id, r.text) for r in ngram_join.drop_near(odd_docs).collect()]
     assert (None, None) in left and left.count((1, "one two three four five six seven")) == 1
     assert len(left) == len(rows) - 4
+
+
+def test_text_fetch_is_no_product_of_rows_without_an_id(spark, same, monkeypatch):
+    asked, made, real = spark.sparkContext.accumulator(0), {}, ngram_join._setter
+
+    def counting(percent):
+        run = real(percent)
+
+        def counted(batches):
+            def seen():
+                for b in batches:
+                    asked.add(b.num_rows)
+                    yield b
+            yield from run(seen())
+        return counted
+
+    def kept(df, name="table", store=ngram_join.materialise):
+        made[name] = store(df, name)
+        return made[name]
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    monkeypatch.setattr(ngram_join, "_setter", counting)
+    monkeypatch.setattr(ngram_join, "materialise", kept)
+    rows = [(None, " ".join([f"a{i}w{j}" for j in range(30)] + [f"z{c}"])) for i in range(20) for c in range(2)]
+    rows += rows[:1] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    same(ngram_join.ngram_components(df).collect(), linked(rows))
+    assert asked.value == 45      # 40 sets, one of them written six times
+    assert made["sets"].count() == made["sets"].select("k", "n").distinct().count() == 40
