@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import chat, exact_dedup, language, mixing, ngram_join, packing, quality, sharding, suffix_dedup, url_filter
+from tallyloom.llm import (alignment, ann, chat, exact_dedup, language, mixing, ngram_join, packing, quality, sharding,
+                           suffix_dedup, url_filter, vector_codes)
 from tallyloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -224,3 +225,58 @@ def op9(spark, sf):
 @query("op10_bayes_language")
 def op10(spark, sf):
     return language.predictions(table(spark, sf, "documents"))
+
+
+@query("op11_galloping_alignment")
+def op11(spark, sf):
+    return alignment.align(table(spark, sf, "documents"))
+
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Assignment and update of the codebooks, written out round by round."""
+    near = """
+{to} as materialized (
+  select rid, k, x, m % 1024 as i, m // 1024 as d from (
+    select rid, k, any_value(p.x) x,
+      min((p.xx - 2 * list_inner_product(p.y, b.c::double[]) + list_inner_product(b.c::double[], b.c::double[]))::bigint
+          * 1024 + b.i) m
+    from p join {book} b using (k) group by rid, k))"""
+    move = """
+{to} as materialized (
+  select k, i, list(coalesce(floor(s::double / n)::bigint, c) order by j) c
+  from (select k, i, unnest(range(1, len(c) + 1)) j, unnest(c) c from {book}) b
+  left join (select k, i, j, sum(x)::bigint s, count(*) n
+             from (select k, i, unnest(range(1, len(x) + 1)) j, unnest(x) x from {at}) group by k, i, j) g
+  using (k, i, j) group by k, i)"""
+    steps = "".join(f",{near.format(to=f'a{r}', book=f'c{r}')},{move.format(to=f'c{r + 1}', book=f'c{r}', at=f'a{r}')}"
+                    for r in range(rounds))
+    return f"""
+with v as materialized (
+  select row_number() over () rid, vec_id, label,
+    list_transform(embedding, lambda e: floor(1024 * e::double)::bigint) z
+  from embeddings where embedding is not null
+    and len(list_filter(embedding, lambda e: e is null or isnan(e) or isinf(e))) = 0),
+p as materialized (
+  select *, x::double[] y, list_inner_product(x::double[], x::double[]) xx
+  from (select rid, k, z[k * len(z) // {parts} + 1:(k + 1) * len(z) // {parts}] x from v, range({parts}) r(k))),
+c0 as materialized (
+  select k, i, x c from p join (select rid, row_number() over (order by vec_id, z) - 1 i from v) using (rid)
+  where i < {entries}){steps},{near.format(to='last', book=f'c{rounds}')},
+coded as (
+  select rid, lower(string_agg(lpad(to_hex(i), 2, '0'), '' order by k)) code, sum(d)::bigint error from last group by rid),
+book as (
+  select sha256(string_agg(v, ',' order by k, i)) sha
+  from (select k, i, array_to_string(c::varchar[], ',') v from c{rounds}))
+select vec_id, code, error, sum(error) over (partition by label)::bigint label_error, sha codebooks_sha256, label
+from v join coded using (rid), book
+"""
+
+
+@query("op12_box_codes", _codes_sql())
+def op12(spark, sf):
+    return vector_codes.compress(table(spark, sf, "embeddings"))
+
+
+@query("op13_multi_index", None)
+def op13(spark, sf):
+    return ann.search(table(spark, sf, "embeddings"))

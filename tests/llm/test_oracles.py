@@ -5,7 +5,7 @@ import pytest
 
 from tallyloom.llm.queries import ORACLES, QUERIES
 
-TABLES = ("documents", "pages", "conversations", "labels", "benchmark")
+TABLES = ("documents", "pages", "conversations", "labels", "benchmark", "embeddings")
 
 
 def canonical(v):
@@ -29,5 +29,5 @@ def test_query_equals_sql(spark, sf, name):
     assert len(got) > 0
 
 
-def test_all_ten_are_registered():
-    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 11))
+def test_all_are_registered():
+    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 14))
