@@ -19,8 +19,8 @@ Comparison of runs trusts 80 bits of hashes besides the bucket; everything open
 shuffles carry packed arrays of bounded size; nothing is collected.
 
 Defined cases: a null text is empty; texts shorter than ``size`` lose nothing. Strings are judged on the
-input. Documents with equal ids never remove from one another, and rows equal in id and text have the same
-result; a null id counts as larger than any other. Other columns are ignored. Empty tables give empty results.
+input. A document is known by its id and a 64-bit hash of its text. Documents with equal ids never remove from one
+another, and rows equal in id and text have the same result; a null id counts as larger than any other. Other columns are ignored. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -66,7 +66,7 @@ def _keyed(ids: np.ndarray, marks: np.ndarray, **columns: np.ndarray) -> bytes:
     at = np.flatnonzero(new)
     base = int(ids.min())
     return pickle.dumps((base, _small(ids[at].astype("u8") - np.uint64(base & (1 << 64) - 1)),
-                         marks[at].astype("u4"), _small(np.diff(np.append(at, len(ids)))),
+                         marks[at].astype("<i8"), _small(np.diff(np.append(at, len(ids)))),
                          {k: (v if v.dtype.itemsize == 1 else _small(v)) for k, v in columns.items()}), 5)
 
 
@@ -390,7 +390,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 def _marked(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     body = text_of(docs[text])
     return docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[id_col].cast("bigint"), F.lit(NO_ID)).alias("id"),
-                       F.xxhash64(body).bitwiseAND(F.lit(0xFFFFFFFF)).alias("mark"), body.alias("text"))
+                       F.xxhash64(body).alias("mark"), body.alias("text"))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size: int = SIZE,

@@ -133,6 +133,23 @@ def test_repeats_equal_brute_force(spark, same, monkeypatch, size, hot):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and len(r.spans) == r.n_spans for r in out.collect())
 
 
+def test_rows_without_an_id_are_told_apart(spark, same):
+    """Two texts without an id whose hashes agree in their lower half, one of which shares a passage."""
+    from pyspark.sql import functions as F
+    shared = "a passage of more than fifty bytes that two documents have in common"
+    body = F.when(F.col("id") % 2 == 0, F.concat(F.col("id").cast("string"), F.lit(shared))).otherwise(
+        F.repeat(F.concat(F.col("id").cast("string"), F.lit(" ")), 20))
+    half = F.xxhash64(body).bitwiseAND(F.lit(0xFFFFFFFF))
+    pair = (spark.range(600_000).select((F.col("id") % 2).alias("odd"), body.alias("text"), half.alias("h")).groupBy("h")
+                 .agg(F.collect_list("text").alias("texts"), F.countDistinct("odd").alias("kinds"))
+                 .where("kinds = 2").orderBy("h").first().texts[:2])
+    rows = [(1, f"-- {shared} --"), (None, pair[0]), (None, pair[1]), (None, "nothing")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix_dedup.remove_repeats(df, with_text=False).collect()
+    same(got, removed(rows, 50))
+    assert sorted(r.n_removed for r in got) == [0, 0, 0, len(shared)]
+
+
 def test_repeats_on_odd_documents(odd_docs, no_docs, docs, same):
     same(suffix_dedup.remove_repeats(odd_docs, with_text=False).collect(),
          removed([(r.doc_id, r.text) for r in odd_docs.collect()], 50))
