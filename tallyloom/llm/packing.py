@@ -1,8 +1,8 @@
 """Packing by cutting-stock column generation.
 
 1. Documents are tokenised once, in tasks, and cut: whole sequences first, then one remainder. Each piece
-   gets a size class, its length rounded up to ``GRAIN`` tokens (at most capacity / GRAIN classes).
-2. The histogram of classes, at most capacity / GRAIN numbers, is all the driver sees. A linear program over
+   gets a size class: its length up to ``FINE`` tokens, beyond that its length rounded up to ``GRAIN`` tokens.
+2. The histogram of classes, at most FINE + capacity / GRAIN numbers, is all the driver sees. A linear program over
    patterns (how many pieces of each class share a sequence) is solved by column generation: a knapsack
    dynamic program prices new patterns with the current duals until none improves. Patterns are
    rounded down; what is left over is packed by filling one pattern at a time with the largest classes.
@@ -40,6 +40,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CAPACITY = 1024
 GRAIN = 8
+FINE = 64           # lengths up to here are classes of their own
 CLOSING = 0
 CACHE_WORDS = 300_000
 BLOCK_BYTES = 2 << 20
@@ -262,19 +263,20 @@ def _stretches(plan: list[tuple[int, np.ndarray]], size: np.ndarray) -> list[tup
     return rows
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN, fine: int = FINE) -> DataFrame:
     """Adds sequence_id and offset to stored pieces (doc_id, start, length, ids_crc32, ...)."""
     spark: SparkSession = pieces.sparkSession
-    sized = pieces.withColumn("class", F.ceil(F.col("length") / grain).cast("int"))
+    rounded = F.least(F.ceil(F.col("length") / grain) * grain, F.lit(capacity))
+    sized = pieces.withColumn("class", F.when(F.col("length") <= fine, F.col("length")).otherwise(rounded).cast("int"))
     histogram = {r["class"]: r["n"] for r in sized.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()}
     size = np.array(sorted(histogram), int)
-    plan = solve_patterns(size, np.array([histogram[s] for s in size], float), capacity // grain)
+    plan = solve_patterns(size, np.array([histogram[s] for s in size], float), capacity)
     rows = _stretches(plan, size)
     stretches = spark.createDataFrame(rows, "of int, first long, stop long, each long, base long")
-    digest = F.md5(F.concat(id_text(F.col("doc_id")), F.lit(":"), F.col("start").cast("string")))
+    digest = F.md5(F.concat_ws(":", id_text(F.col("doc_id")), F.col("start").cast("string"), F.col("ids_crc32").cast("string")))
     ranked = sliced_rank(sized.withColumn("digest", digest), ["class"], "digest",
                          ["doc_id", "start", "ids_crc32", "doc_tokens"], "rank")
-    # one row per class and pattern: at most (capacity / grain) ** 2 rows
+    # one row per class and pattern: at most the square of the number of classes
     placed = ranked.join(F.broadcast(stretches), (F.col("class") == F.col("of")) & (F.col("rank") >= F.col("first"))
                          & (F.col("rank") < F.col("stop")))
     placed = placed.withColumn("sequence_id", F.col("base") + F.expr("(rank - first) div each"))
