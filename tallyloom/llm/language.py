@@ -1,9 +1,14 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Texts are lower-cased; every run of 1, 2 and 3 characters is hashed into one of ``2**BITS`` buckets. The model is a
-matrix of log probabilities (buckets x languages, at most ``MODEL_BYTES``: with very many languages the
-number of buckets is halved until it fits), which is broadcast. Scoring gathers the rows of a
-batch's n-grams and sums them per text with numpy; whole texts are read, in pieces.
+Texts are lower-cased; every run of 1, 2 and 3 characters is hashed into one of ``2**bits`` buckets. The model is a
+matrix of 32-bit log probabilities (buckets x languages), which is broadcast; beyond ``MODEL_BYTES`` fitting fails
+and asks for fewer ``bits``. Scoring gathers the rows of a batch's n-grams and sums them per text in double
+precision; whole texts are read, in pieces.
+
+``keep_known`` also asks whether a text looks like its language at all: its mean log probability per n-gram must not be
+more than ``SPREADS`` deviations below the language's own mean, both over the n-grams the language was
+learned from. That does not depend on the text's length. Without any label there is no language to look like; then
+every document with a letter stays.
 
 Training uses at most ``PER_LANGUAGE`` texts per language in expectation, drawn by the hash of the id
 (the documented bound of the sample); class shares come from all labelled rows.
@@ -35,6 +40,7 @@ ORDERS = (1, 2, 3)
 PER_LANGUAGE = 5_000
 SMOOTHING = 0.5
 MODEL_BYTES = 64 << 20
+SPREADS = 1.5            # deviations below a language's mean log probability that are still its texts
 PIECE = 1 << 17          # characters hashed at once
 UNKNOWN = "und"
 FACTORS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
@@ -100,14 +106,21 @@ def log_scores(texts: list[str], table: np.ndarray, prior: np.ndarray, bits: int
         some = np.flatnonzero(np.diff(np.append(begin, len(text))) > 0)
         for h, ok in _grams(text, starts, bits):
             h = np.where(ok, h, none)
-            sums = np.add.reduceat(np.take(table, h, axis=0), begin[some], axis=0)
+            sums = np.add.reduceat(np.take(table, h, axis=0), begin[some], axis=0, dtype=float)
             np.add.at(out, np.array(owners)[some], sums)
     return out
 
 
+def gram_counts(lengths: np.ndarray) -> np.ndarray:
+    """How many n-grams texts of these lengths have."""
+    return sum(np.maximum(lengths - order + 1, 0) for order in ORDERS)
+
+
 class Model:
-    def __init__(self, languages: list[str], bits: int, table: np.ndarray, prior: np.ndarray):
-        self.languages, self.bits, self.table, self.prior = languages, bits, table, prior
+    """``floor``: the least mean log probability per n-gram of a text of each language."""
+
+    def __init__(self, languages: list[str], bits: int, table: np.ndarray, prior: np.ndarray, floor: np.ndarray):
+        self.languages, self.bits, self.table, self.prior, self.floor = languages, bits, table, prior, floor
 
 
 def remainder(id_col: Column, folds: int = 5) -> Column:
@@ -133,7 +146,7 @@ def _add_up(part: pd.DataFrame) -> pd.DataFrame:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id",
-        per_language: int = PER_LANGUAGE) -> Model | None:
+        per_language: int = PER_LANGUAGE, bits: int = BITS) -> Model | None:
     """Train on the rows of ``labelled`` with a label and a text; None without any."""
     rows = labelled.select(labelled[id_col].alias("id"), labelled[text].alias("text"), labelled[lang].alias("lang"))
     rows = rows.where("lang is not null and text is not null")
@@ -141,59 +154,68 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: str
     sizes = {r.lang: r.n for r in shares.collect()}
     if not sizes:
         return None
-    languages, bits = sorted(sizes), BITS
-    while bits > 8 and (1 << bits) * len(languages) * 8 > MODEL_BYTES:
-        bits -= 1
+    languages = sorted(sizes)
+    if (1 << bits) * len(languages) * 4 > MODEL_BYTES:
+        raise ValueError(f"{len(languages)} languages with 2**{bits} buckets need over {MODEL_BYTES} bytes; give fewer bits")
     drawn = hex_unit(F.md5(F.concat(id_text(F.col("id")), F.lit(":language"))))
     sample = (rows.join(shares, "lang").where(drawn * F.col("n") < per_language)
                   .select("lang", "text").repartition(TRAIN_TASKS))
     counts = (sample.mapInArrow(_counter(bits), "lang string, counts binary")
                     .groupBy("lang").applyInPandas(_add_up, "lang string, counts binary"))
-    table = np.zeros(((1 << bits) + 1, len(languages)))
+    table, floor = np.zeros(((1 << bits) + 1, len(languages)), np.float32), np.zeros(len(languages))
     for r in counts.toLocalIterator():
-        c = np.frombuffer(r.counts, np.int64)
-        table[:-1, languages.index(r.lang)] = np.log((c + SMOOTHING) / (c.sum() + SMOOTHING * len(c)))
+        c, k = np.frombuffer(r.counts, np.int64), languages.index(r.lang)
+        logs = np.log((c + SMOOTHING) / (c.sum() + SMOOTHING * len(c)))
+        table[:-1, k] = logs
+        if c.sum():
+            mean = (c * logs).sum() / c.sum()
+            floor[k] = mean - SPREADS * np.sqrt((c * (logs - mean) ** 2).sum() / c.sum())
     seen = ~(table[:-1] == 0).all(axis=0)      # a language whose drawn sample is empty cannot be predicted
     prior = np.where(seen, np.log(np.array([sizes[x] for x in languages]) / sum(sizes.values())), -np.inf)
-    return Model(languages, bits, table, prior)
+    return Model(languages, bits, table, prior, floor)
 
 
 def predictor(spark, model: Model | None):
-    """A column function: text -> struct(lang, score)."""
-    schema = "lang string, score double"
+    """A column function: text -> struct(lang, score, like); ``like`` tells whether the text looks like its language."""
+    schema = "lang string, score double, like boolean"
     if model is None:
-        return lambda text: F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"))
-    shared = spark.sparkContext.broadcast((model.languages, model.bits, model.table, model.prior))
+        return lambda text: F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"),
+                                     F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("like"))
+    shared = spark.sparkContext.broadcast((model.languages, model.bits, model.table, model.prior, model.floor))
 
     @F.pandas_udf(schema)
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        languages, bits, table, prior = shared.value
+        languages, bits, table, prior, floor = shared.value
         for texts in parts:
             known = texts.notna().to_numpy()
-            s = log_scores(texts.where(known, "").tolist(), table, prior, bits)
+            whole = texts.where(known, "").tolist()
+            s = log_scores(whole, table, prior, bits)
             best = s.argmax(axis=1) if len(s) else np.zeros(0, int)
             top = s[np.arange(len(s)), best][:, None]
-            yield pd.DataFrame({"lang": np.array(languages, object)[best],
-                                "score": 1.0 / np.exp(s - top).sum(axis=1)})
+            n = np.maximum(gram_counts(np.array([len(t.lower()) for t in whole], np.int64)), 1)
+            yield pd.DataFrame({"lang": np.array(languages, object)[best], "score": 1.0 / np.exp(s - top).sum(axis=1),
+                                "like": (top[:, 0] - prior[best]) / n >= floor[best]})
 
     def column(text: Column) -> Column:
         lettered = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
         made = scored(F.when(lettered, text))
         return F.struct(F.when(lettered, made["lang"]).otherwise(F.lit(UNKNOWN)).alias("lang"),
-                        F.when(lettered, made["score"]).otherwise(F.lit(0.0)).alias("score"))
+                        F.when(lettered, made["score"]).otherwise(F.lit(0.0)).alias("score"),
+                        (lettered & F.coalesce(made["like"], F.lit(False))).alias("like"))
     return column
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """(row, lang, score): each whole row as a struct beside its prediction."""
+    """(row, lang, score, like): each whole row as a struct beside its prediction."""
     column = predictor(docs.sparkSession, model)
     return (rows_packed(docs).withColumn("p", column(F.col(f"row.`{text}`")))
-            .select("row", F.col("p.lang").alias("lang"), F.col("p.score").alias("score")))
+            .select("row", F.col("p.lang").alias("lang"), F.col("p.score").alias("score"), F.col("p.like").alias("like")))
 
 
 def keep_known(docs: DataFrame, model: Model | None, text: str = "text", min_score: float = 0.5) -> DataFrame:
-    """The documents with a recognised language, unchanged."""
-    return predict(docs, model, text).where((F.col("lang") != UNKNOWN) & (F.col("score") >= min_score)).select("row.*")
+    """The documents that look like a learned language, unchanged; without a model those with a letter."""
+    known = F.lit(True) if model is None else F.col("score") >= min_score
+    return predict(docs, model, text).where(F.col("like") & known).select("row.*")
 
 
 def predictions(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> DataFrame:
