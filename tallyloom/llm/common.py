@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.scale import BROADCAST_ROWS, store
+
 BREAK = r"[\x20\x09-\x0D]+"
 SLICES = 4096   # slices of one group's order; a window holds one slice
 
@@ -22,6 +24,22 @@ def id_text(col: Column) -> Column:
     return F.coalesce(col.cast("string"), F.lit(""))
 
 
+def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Adds a number from 1 on to rows that agree in all ``keys``; rows that agree must be interchangeable.
+
+    Only the repeated ones meet in windows; the others, usually all, do not move.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    again, n = store(counts.select(*[F.col(k).alias(f"_{k}") for k in keys]), "repeated")
+    if not n:
+        return df.withColumn(name, F.lit(1))
+    same = [df[k].eqNullSafe(again[f"_{k}"]) for k in keys]
+    side = F.broadcast(again) if n <= BROADCAST_ROWS else again
+    window = Window.partitionBy(*keys).orderBy(F.lit(1))
+    return (df.join(side, same, "left_semi").withColumn(name, F.row_number().over(window))
+              .unionByName(df.join(side, same, "left_anti").withColumn(name, F.lit(1))))
+
+
 def hex_unit(digest: Column) -> Column:
     """A number in [0, 1) from the first 13 hex digits, exact in a double."""
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") / F.lit(float(16 ** 13))
@@ -38,8 +56,8 @@ def sliced_rank(df: DataFrame, by: list[str], digest: str, ties: list[str],
 
     ``digest`` is a hex text. A window task holds one of 4096 slices of a group's order; the rows of
     earlier slices come from a table of at most 4096 counts per group, so a group with a third of
-    all rows is still spread over thousands of windows. Rows equal in ``ties`` too must be
-    interchangeable. ``by`` must not be null and has a bounded number of values (shards, bins).
+    all rows is still spread over thousands of windows, provided that the digest covers what tells its rows apart: an
+    id alone may be null or repeated. Rows equal in ``ties`` too must be interchangeable. ``by`` must not be null and has a bounded number of values (shards, bins).
     """
     df = df.withColumn("_slice", F.substring(digest, 1, 3))
     counts = df.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"))

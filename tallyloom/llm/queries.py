@@ -86,8 +86,8 @@ jump(rid, state, cand, shard, grown) as (
               from jump where cand <= 16))),
 home as (select rid, max(shard) shard, max(grown) grown from jump group by rid)
 select doc_id, size, text_crc32, law, shard,
-       row_number() over (partition by shard order by md5(coalesce(doc_id::varchar, '')), doc_id,
-                          text_crc32, size) - 1 as slot, grown_shard
+       row_number() over (partition by shard order by md5(coalesce(doc_id::varchar, '') || ':' || text_crc32),
+                          doc_id, text_crc32, size) - 1 as slot, grown_shard
 from (select k.doc_id, octet_length(encode(body))::bigint + 1 size, crc text_crc32, 'key' law,
              shard::int shard, grown::int grown_shard
       from keyed k join crc using (rid) join home using (rid))
@@ -132,7 +132,9 @@ def op4(spark, sf):
 
 
 @query("op5_source_mix", r"""
-with s as (select doc_id, source, len(""" + _WORDS + r""")::bigint size from documents),
+with s as (
+  select doc_id, source, len(""" + _WORDS + r""")::bigint size, md5(coalesce(text, '')) h,
+    row_number() over (partition by doc_id, md5(coalesce(text, ''))) nth from documents),
 src as (select source, sum(size)::bigint source_size from s group by 1),
 w as (
   select *, (row_number() over (order by source is null, source) - 1) % 3 + 1 weight from src),
@@ -151,7 +153,8 @@ t as (select source, source_size, least(l.level * weight, (3 * source_size)::dou
 x as (
   select s.doc_id, size, source_size, target, s.source,
     case when source_size > 0 then target / source_size else 0 end rate,
-    ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':mix'), 1, 13))::bigint / 4503599627370496.0::double u
+    ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':' || h || ':' || nth || ':mix'), 1, 13))::bigint
+      / 4503599627370496.0::double u
   from s join t on s.source is not distinct from t.source)
 select doc_id, size, source_size, target,
   (size * (floor(rate) + case when u < rate - floor(rate) then 1 else 0 end))::bigint taken,

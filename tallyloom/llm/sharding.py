@@ -92,7 +92,7 @@ def manifest(docs: DataFrame, text: str = "text", id_col: str = "doc_id", n: int
     both = jump_shards(stable_key(docs[id_col], kind), n)
     rows = docs.select(docs[id_col].alias("doc_id"), (F.octet_length(body).cast("bigint") + 1).alias("size"),
                        F.crc32(body).alias("text_crc32"), both.alias("to"),
-                       F.md5(id_text(docs[id_col])).alias("digest"))
+                       F.md5(F.concat(id_text(docs[id_col]), F.lit(":"), F.crc32(body).cast("string"))).alias("digest"))
     rows = rows.select("doc_id", "size", "text_crc32", "to.shard", "to.grown", "digest")
     ranked = sliced_rank(rows, ["shard"], "digest", ["doc_id", "text_crc32", "size"], "slot")
     return ranked.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot",

@@ -137,6 +137,23 @@ def test_mix_comes_near_its_targets(spark):
         assert abs(r.t - r.g) < 0.03 * r.g
 
 
+def test_rows_without_an_id_draw_and_rank_one_by_one(spark):
+    df = spark.range(30000).selectExpr("case when id % 3 > 0 then id end as doc_id",
+                                       "concat('n', id, ' ', repeat('w ', cast(id % 40 as int))) as text",
+                                       "concat('s', id % 4) as source").unionByName(
+        spark.range(3000).selectExpr("cast(null as long) as doc_id", "'same text here' as text", "'s9' as source"))
+    for r in mixing.mix_plan(df).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect():
+        assert abs(r.t - r.g) < 0.03 * r.g
+    mixed = mixing.mix(df).groupBy("source").count().collect()
+    plan = mixing.mix_plan(df).groupBy("source").agg(F.sum("copies").alias("n")).collect()
+    assert {r.source: r["count"] for r in mixed} == {r.source: r.n for r in plan}
+    rows = sharding.manifest(df).where("doc_id is null").groupBy("shard").count().collect()
+    assert len(rows) == 1                                    # one key, one shard: the law
+    digest = F.md5(F.concat(F.lit(":"), F.crc32(F.encode(F.col("text"), "UTF-8")).cast("string")))
+    largest = df.where("doc_id is null and source <> 's9'").groupBy(F.substring(digest, 1, 3)).count().agg(F.max("count")).first()[0]
+    assert largest < 20
+
+
 # ------------------------------------------------------------------ line frequency
 
 def test_lines_above_the_limit(spark, same):

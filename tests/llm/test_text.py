@@ -210,6 +210,76 @@ def test_language_edge_cases(spark, odd_docs, no_docs):
     assert {r.lang_pred for r in language.predictions(odd_docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def plain_bayes(rows, texts, bits):
+    """Label, posterior of each text by the textbook formula; every labelled text is learned from."""
+    def grams(t):
+        t, out = t.lower(), []
+        for order in language.ORDERS:
+            for i in range(len(t) - order + 1):
+                h = order * 0x27D4EB2F + sum(ord(t[i + j]) * language.FACTORS[j] for j in range(order)) & 0xFFFFFFFF
+                h ^= h >> 15
+                out.append((h * 0x2C1B3C6D & 0xFFFFFFFF) >> 32 - bits)
+        return out
+    counts, docs = {}, {}
+    for t, lang in rows:
+        if t is not None and lang is not None:
+            docs[lang] = docs.get(lang, 0) + 1
+            for g in grams(t):
+                counts.setdefault(lang, {}).setdefault(g, 0)
+                counts[lang][g] += 1
+    total = {x: sum(c.values()) for x, c in counts.items()}
+    out = []
+    for t in texts:
+        if t is None or not any(c.isalpha() for c in t):
+            out.append(("und", 0.0))
+            continue
+        logs = {x: np.log(docs[x] / sum(docs.values())) + sum(np.log((counts[x].get(g, 0) + language.SMOOTHING)
+                                                                      / (total[x] + language.SMOOTHING * 2 ** bits)) for g in grams(t))
+                for x in sorted(docs)}
+        best = max(logs, key=lambda x: logs[x])
+        out.append((best, 1 / sum(np.exp(v - logs[best]) for v in logs.values())))
+    return out
+
+
+def test_predictions_equal_plain_naive_bayes(spark):
+    rng = random.Random(8)
+    words = {"en": "the of and to in house green water some".split(), "de": "der die und haus wasser nicht ein".split(),
+             "xx": "the die wo na ka".split()}
+    rows = [(i, " ".join(rng.choice(words[x]) for _ in range(rng.randrange(1, 12))), x)
+            for i in range(60) for x in [rng.choice(sorted(words))]]
+    rows += [(100, None, "en"), (101, "12 34", "de"), (102, "unlabelled der the", None), (103, "", None), (104, "Wasser", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0}
+    want = plain_bayes([(t, x) for i, t, x in rows if i not in held], [t for _, t, _ in rows], language.BITS)
+    for r, (lang, score) in zip(language.predictions(df).orderBy("doc_id").collect(), want):
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-4 and r.held_out == (r.doc_id in held)
+
+
+def test_texts_unlike_any_language_go(spark, docs):
+    model = language.fit(docs)
+    junk = ["\u0d2e\u0d32\u0d2f\u0d3e\u0d33\u0d02 " * n for n in (2, 20, 4000)] + ["qzxj kvqx zzqj xkcd wqpz " * n for n in (1, 300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(junk)], "doc_id long, text string")
+    assert language.keep_known(df, model).count() == 0
+    labelled = docs.where("lang is not null and n_chars > 40")
+    assert language.keep_known(labelled, model).count() >= 0.99 * labelled.count()
+    assert language.keep_known(df, None).count() == len(junk)
+
+
+def test_too_many_languages_are_an_error(docs, monkeypatch):
+    monkeypatch.setattr(language, "MODEL_BYTES", 1 << 16)
+    with pytest.raises(ValueError, match="fewer bits"):
+        language.fit(docs)
+    assert language.fit(docs, bits=8).bits == 8
+
+
+def test_short_texts_are_packed_tightly(spark):
+    texts = ["one two three four five six seven eight" if i % 3 else "a" for i in range(3000)]
+    df = spark.createDataFrame([(None if i % 2 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = packing.packed_documents(df).collect()
+    used = sum(r.length for r in rows)
+    assert used > 0.97 * 1024 * (max(r.sequence_id for r in rows) + 1)
+
+
 # ------------------------------------------------------------------ pipeline
 
 def test_pipeline_stages(spark, docs, sf, odd_docs, no_docs, tokenizer):
@@ -241,7 +311,7 @@ def test_pipeline_rows_equal_brute_force(spark, docs, sf):
     want = {}
     for d, t, _, s in rows:
         rate = target[s] / sizes[s] if sizes[s] else 0
-        u = int(hashlib.md5(f"{d}:mix".encode()).hexdigest()[:13], 16) / 16 ** 13
+        u = int(hashlib.md5(f"{d}:{hashlib.md5(t.encode()).hexdigest()}:1:mix".encode()).hexdigest()[:13], 16) / 16 ** 13
         if n := int(rate) + (u < rate - int(rate)):
             want[d] = n
     got = {}
