@@ -39,12 +39,14 @@ BLOCK_BYTES = 4 << 20
 PIECE = 1 << 20            # characters of one text handled at once
 CACHE_WORDS = 300_000
 LONG_WORD = 200            # characters beyond which a word is not kept
+TOGETHER = 4096            # new words encoded in one text
 LANE = 64                  # ends that gallop one after the other
 SHIFT = 32                 # a pair is (first id << SHIFT) | second id
 BLANK = "▁"           # fixed value: the piece tokenizer's sign for a blank
 # white space that is doubled, or neither blank nor line feed
 ODD = (r"[ \n][ \n]|[\t\r\f\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+INSIDE = re.compile(r"\s")
 BLANK_CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -75,6 +77,8 @@ class WordPairs:
             byte = re.fullmatch(r"<0x([0-9A-F]{2})>", p)
             self.b_bytes.append(bytes([int(byte[1], 16)]) if byte else p.replace(BLANK, " ").encode())
         self.a_length, self.b_length = (np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.a_names, self.b_names = (pa.array(x, pa.large_binary()) for x in (self.a_bytes, self.b_bytes))
+        self.a_line, self.b_line = ranks[b"\n"], self.pieces.piece_to_id("<0x0A>")
         self.cache: dict[str, tuple[bytes, bytes, bool]] = {}
 
     def encode(self, word: str) -> tuple[bytes, bytes, bool]:
@@ -85,18 +89,36 @@ class WordPairs:
         right = b"".join([self.a_bytes[i] for i in a]) == raw == b"".join([self.b_bytes[i] for i in b])
         return np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes(), right
 
+    def _together(self, words: list[str]) -> list[tuple[bytes, bytes, bool]] | None:
+        """``encode`` of words without white space inside, all in one text, a line feed before each; None if a
+        tokenizer changes their bytes."""
+        text = "".join([w if w[0] == "\n" else "\n" + w for w in words])
+        raw, out = text.encode("utf-8", "surrogatepass"), []
+        for ids, names, line in ((self.bytes_.encode_ordinary(text), self.a_names, self.a_line),
+                                 (self.pieces.encode(text)[1:], self.b_names, self.b_line)):
+            ids = np.array(ids, "<u4")
+            cut = np.flatnonzero(ids == line)
+            if len(cut) != len(words) or names.take(pa.array(ids)).buffers()[2].to_pybytes()[:len(raw) + 1] != raw:
+                return None
+            data, skip = ids.tobytes(), [0 if w[0] == "\n" else 4 for w in words]
+            out.append([data[4 * a + k:4 * e] for a, k, e in zip(cut.tolist(), skip, [*cut[1:].tolist(), len(ids)])])
+        return [(x, y, True) for x, y in zip(*out)]
+
     def look_up(self, words: list[str]) -> list[tuple[bytes, bytes, bool]]:
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        out = []
-        for w in words:
-            got = self.cache.get(w)
-            if got is None:
-                got = self.encode(w)
-                if len(w) <= LONG_WORD:
-                    self.cache[w] = got
-            out.append(got)
-        return out
+        found = {w: self.cache[w] for w in words if w in self.cache}
+        new = [w for w in words if w not in found]
+        plain = [w for w in new if len(w) > 1 and not INSIDE.search(w, 1)]
+        for at in range(0, len(plain), TOGETHER):
+            some = plain[at:at + TOGETHER]
+            if (got := self._together(some)) is not None:
+                found.update(zip(some, got))
+        for w in new:
+            if w not in found:
+                found[w] = self.encode(w)
+        self.cache.update((w, found[w]) for w in new if len(w) <= LONG_WORD)
+        return [found[w] for w in words]
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -209,8 +231,9 @@ def _aligned(pairs: WordPairs, digits: _Digits, texts: pa.Array) -> dict:
     index, owner = index[use], owner[use]
     ids, ends, begins = [], [], []
     for k, length in ((0, pairs.a_length), (1, pairs.b_length)):
-        each = np.array([len(x[k]) // 4 for x in known], np.int64)
-        data = pa.array([x[k] for x in known], pa.large_binary()).take(pa.array(index))
+        coded_ids = pa.array([x[k] for x in known], pa.large_binary())
+        each = np.diff(np.frombuffer(coded_ids.buffers()[1], "<i8", len(known) + 1)) // 4
+        data = coded_ids.take(pa.array(index))
         found = np.frombuffer(data.buffers()[2] or b"", "<u4")[:each[index].sum()].astype(np.int64) if len(index) else \
             np.zeros(0, np.int64)
         ids.append(found)
