@@ -389,6 +389,30 @@ def e12_sparse(spark, sf):
     return prep.DataEncoder(["q"], ["o", "f"], scaling="none").fit(df).sparse(df, "key")
 
 
+@query("q_e14_sparse_vectors", """with k as (select o_orderkey as key, o_custkey::varchar as v, o_orderstatus as f,
+      o_totalprice::double as q from orders),
+    d as (select v, row_number() over (order by v) - 1 as code from (select distinct v from k)),
+    r as (select f, row_number() over (order by f) - 1 as code from (select distinct f from k)),
+    e as (select key, 0 as index, q as value from k where q <> 0 union all
+      select key, code, 1.0 from k join d using (v) where code > 0 union all
+      select key, (select count(*) from d) - 1 + code, 1.0 from k join r using (f) where code > 0)
+    select key, (select (select count(*) from d) + (select count(*) from r) - 1)::integer as width,
+      coalesce(list(index::integer order by index) filter (index is not null), []) as indices,
+      coalesce(list(value::double order by index) filter (index is not null), []) as "values"
+    from k left join e using (key) group by key""")
+def e14_sparse(spark, sf):
+    """A numeric column, one nominal column with a value per customer, and a small one."""
+    df = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("key"), F.col("o_totalprice").cast("double").alias("q"),
+        F.col("o_custkey").cast("string").alias("o"), F.col("o_orderstatus").alias("f"))
+    made = prep.DataEncoder(["q"], ["o", "f"], scaling="none").fit(df).sparse_vectors(df, "key")
+    parts = F.from_json(F.to_json(F.struct("features")),
+                        "features struct<type: int, size: int, indices: array<int>, values: array<double>>")
+    return made.select("key", parts.alias("v")).select(
+        "key", F.col("v.features.size").alias("width"), F.col("v.features.indices").alias("indices"),
+        F.col("v.features.values").alias("values"))
+
+
 _PRIORITIES = ["5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH", "1-URGENT"]
 
 

@@ -49,6 +49,12 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a table of ``new_path`` that a later one has replaced."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def store(df: DataFrame, name: str = "table") -> tuple[DataFrame, int]:
     """``materialise`` plus the number of rows, read from the footers of the written files."""
     table = materialise(df, name)

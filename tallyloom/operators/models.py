@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Estimator, Model, PipelineModel, Transformer
+from pyspark.ml import Estimator, Model
 from pyspark.ml import classification as mlc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -24,6 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.scale import bounded_rows, materialise, new_path
+from tallyloom.operators.boosting import BootstrapForest, SoftmaxBoosting
+from tallyloom.operators.calibration import CalibratedSVM
+from tallyloom.operators.fitting import Columns as _Columns
+from tallyloom.operators.fitting import argmax_label, softmax
 from tallyloom.operators.neighbors import cross_neighbors, vote
 from tallyloom.operators.prep import MAX_CATEGORIES, class_sizes, with_class_weights
 
@@ -91,21 +95,19 @@ WITHOUT_EFFECT: dict[str, set[str]] = {
     "Logistic Regression": {"penalty", "solver"},
     "Decision Tree": {"min_samples_split"},
     "Random Forest": {"min_samples_split"},
-    "Gradient Boosting": {"min_samples_split", "validation_fraction", "n_iter_no_change", "tol"},
-    "MLP": {"activation", "alpha", "learning_rate", "learning_rate_init", "solver", "early_stopping",
-            "validation_fraction", "n_iter_no_change"},
+    "Gradient Boosting": {"min_samples_split"},
+    "MLP": {"activation", "alpha", "learning_rate", "early_stopping", "validation_fraction", "n_iter_no_change"},
 }
 
 
 def effective(model: str, params: dict) -> dict:
-    """The parameters that change the fitted model; both 'balanced' weightings are one."""
+    """The parameters that change the fitted model. A step size matters to gradient descent alone."""
     out = {k: v for k, v in params.items() if k not in WITHOUT_EFFECT.get(model, ())}
-    if out.get("class_weight") == "balanced_subsample":
-        out["class_weight"] = "balanced"
+    if model == "MLP" and out.get("solver", "lbfgs") == "lbfgs":
+        out.pop("learning_rate_init", None)
     return out
 
 
-PARALLEL_FITS = 8  # one-against-rest models fitted side by side
 MAX_DEPTH = 30   # Spark's deepest tree; stands for an unlimited one
 
 
@@ -114,42 +116,6 @@ def param_space(model: str, program: str = "base") -> dict | list:
     return BEHAVIOR_SPACES.get(model, base) if program == "behavior" else base
 
 
-# ---------------------------------------------------------------- probabilities
-
-def argmax_label(scores: Column) -> Column:
-    """Position of the largest entry, the first one on ties, as a double label."""
-    return (F.array_position(scores, F.array_max(scores)) - 1).cast("double")
-
-
-def softmax(scores: Column) -> Column:
-    e = F.transform(scores, lambda s: F.exp(s - F.array_max(scores)))
-    total = F.aggregate(e, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(e, lambda v: v / total)
-
-
-class _Columns(Params):
-    featuresCol = Param(Params._dummy(), "featuresCol", "features", TypeConverters.toString)
-    labelCol = Param(Params._dummy(), "labelCol", "label", TypeConverters.toString)
-
-    def _columns(self, features: str, label: str) -> None:
-        self._set(featuresCol=features, labelCol=label)
-
-    @property
-    def features(self) -> str:
-        return self.getOrDefault(self.featuresCol)
-
-    @property
-    def label(self) -> str:
-        return self.getOrDefault(self.labelCol)
-
-
-class SoftmaxProbability(Transformer, DefaultParamsReadable, DefaultParamsWritable):
-    """Adds ``probability`` as the softmax of ``rawPrediction``."""
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("probability", array_to_vector(softmax(vector_to_array("rawPrediction"))))
-
-
 # ---------------------------------------------------------------- Gaussian naive Bayes
 
 class GaussianNB(Estimator, _Columns):
@@ -324,36 +290,42 @@ def _decision_tree(p, cols, seed, n, width, k):
 
 
 def _forest(p, cols, seed, n, width, k):
-    return _tree({"max_features": "sqrt", **p}, cols, seed, int(p.get("n_estimators", 100)),
-                 bool(p.get("bootstrap", True)))
+    p = {"max_features": "sqrt", **p}
+    if p.get("class_weight") == "balanced_subsample" and p.get("bootstrap", True):
+        return BootstrapForest(int(p.get("n_estimators", 100)), _depth(p.get("max_depth")), int(p.get("min_samples_leaf", 1)),
+                               p.get("criterion", "gini"), p["max_features"] or "all", seed=seed, **_plain(cols))
+    return _tree(p, cols, seed, int(p.get("n_estimators", 100)), bool(p.get("bootstrap", True)))
 
 
 def _boosting(p, cols, seed, n, width, k):
-    subset = p.get("colsample_bytree")
-    gbt = mlc.GBTClassifier(
-        maxIter=int(p.get("n_estimators", 100)), stepSize=float(p.get("learning_rate", 0.1)),
-        maxDepth=_depth(p.get("max_depth", 3)), seed=seed,
-        minInstancesPerNode=int(p.get("min_samples_leaf", 1)),
-        subsamplingRate=float(p.get("subsample", 1.0)),
-        featureSubsetStrategy="all" if subset in (None, 1.0) else str(subset))
-    return mlc.OneVsRest(classifier=gbt, parallelism=PARALLEL_FITS, **cols)
+    return SoftmaxBoosting(
+        int(p.get("n_estimators", 100)), float(p.get("learning_rate", 0.1)), _depth(p.get("max_depth", 3)),
+        int(p.get("min_samples_leaf", 1)), float(p.get("subsample", 1.0)),
+        validation_fraction=float(p.get("validation_fraction", 0.1)), n_iter_no_change=p.get("n_iter_no_change"),
+        tol=float(p.get("tol", 1e-4)), seed=seed, **_plain(cols))
+
+
+def _regularised_boosting(p, cols, seed, n, width, k):
+    return SoftmaxBoosting(
+        int(p.get("n_estimators", 100)), float(p.get("learning_rate", 0.3)), _depth(p.get("max_depth", 6)), 1,
+        float(p.get("subsample", 1.0)), float(p.get("colsample_bytree", 1.0)), ridge=float(p.get("reg_lambda", 1.0)),
+        shrink_classes=False, n_iter_no_change=p.get("early_stopping_rounds"), seed=seed, **_plain(cols))
 
 
 def _svm(p, cols, seed, n, width, k):
     if p.get("kernel", "linear") != "linear":
         raise ValueError("only the linear kernel is available")
-    return mlc.OneVsRest(classifier=mlc.LinearSVC(regParam=1.0 / (float(p.get("C", 1.0)) * n),
-                                                  maxIter=int(p.get("max_iter", 100))),
-                         parallelism=PARALLEL_FITS, **cols)
+    return CalibratedSVM(1.0 / (float(p.get("C", 1.0)) * n), int(p.get("max_iter", 100)), seed=seed, **cols)
 
 
 def _perceptron(p, cols, seed, n, width, k):
+    """'lbfgs' as it is; 'adam' and 'sgd' become plain gradient descent with ``learning_rate_init`` as step."""
     hidden = [int(h) for h in p.get("hidden_layer_sizes", (100,))]
-    cols = {c: v for c, v in cols.items() if c != "weightCol"}
+    descent = p.get("solver", "lbfgs") != "lbfgs"
+    step = {"stepSize": float(p.get("learning_rate_init", 0.001))} if descent else {}
     return mlc.MultilayerPerceptronClassifier(
         layers=[width, *hidden, k], maxIter=int(p.get("max_iter", 1000)), seed=seed,
-        solver="l-bfgs", blockSize=int(p.get("batch_size", 128)),
-        **cols)
+        solver="gd" if descent else "l-bfgs", blockSize=int(p.get("batch_size", 128)), **step, **_plain(cols))
 
 
 def _plain(cols: dict) -> dict:
@@ -371,7 +343,7 @@ def _knn(p, cols, seed, n, width, k):
 
 BUILDERS: dict[str, Callable] = {
     "Logistic Regression": _logistic, "Decision Tree": _decision_tree, "Random Forest": _forest,
-    "Gradient Boosting": _boosting, "SVM": _svm, "KNN": _knn, "XGBoost": _boosting,
+    "Gradient Boosting": _boosting, "SVM": _svm, "KNN": _knn, "XGBoost": _regularised_boosting,
     "Naive Bayes": _naive_bayes, "MLP": _perceptron,
 }
 
@@ -389,17 +361,15 @@ class Classifier(Estimator, _Columns):
 
     def _fit(self, df: DataFrame) -> Model:
         cols = {"featuresCol": self.features, "labelCol": self.label}
-        if str(self.settings.get("class_weight", "")).startswith("balanced"):
+        if self.settings.get("class_weight") == "balanced" or (
+                self.settings.get("class_weight") == "balanced_subsample" and not self.settings.get("bootstrap", True)):
             df = with_class_weights(df, self.label, "_weight")
             cols["weightCol"] = "_weight"
         sizes = class_sizes(df, self.label)
         width = df.select(F.size(vector_to_array(self.features))).first()[0]
         real = BUILDERS[self.name](self.settings, cols, self.seed, sum(sizes.values()), width,
                                    int(max(sizes)) + 1)
-        model = real.fit(df)
-        if isinstance(model, mlc.OneVsRestModel):
-            return PipelineModel([model, SoftmaxProbability()])
-        return model
+        return real.fit(df)
 
 
 def naive_bayes_table(df: DataFrame, features: str, label: str, smoothing: float) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tallyloom.functions.expr import col, flag, hash_key, unit_interval
 from tallyloom.functions.scale import (
-    bounded_rows, hash_rank, materialise, running_total, store,
+    bounded_rows, hash_rank, materialise, new_path, running_total, store,
 )
 from tallyloom.operators import profile
 from tallyloom.operators.neighbors import nearest, same_class_neighbors
@@ -334,6 +334,55 @@ class DataEncoder:
                                     F.lit(1.0).alias("value")))
         return reduce(DataFrame.unionByName, parts)
 
+    def widths(self) -> dict[str, int]:
+        """Values per nominal column, counted in the dictionary table (a row per column comes back)."""
+        if not self.nominal:
+            return {}
+        sizes = self.mapping.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+        found = {r["feature"]: r["n"] for r in bounded_rows(sizes, len(self.nominal), "columns")}
+        return {c: found.get(c, 0) for c in self.nominal}
+
+    def sparse_columns(self) -> list[str]:
+        """Names of the positions of ``sparse_vectors``; one-hot positions go by their category's code."""
+        return [*self._numbers(), *[f"{c}[{i}]" for c, n in self.widths().items() for i in range(1, n)],
+                *[f"{c}_code" for c in self.ordinal]]
+
+    def sparse_vectors(self, df: DataFrame, key: str, out: str = "features") -> DataFrame:
+        """The rest of the columns, the key and a sparse vector in the order of the encoded blocks; stored.
+
+        Entries are joined and gathered as (index, value) arrays per row, at most one per column. The written
+        table is read back as vectors, so no dense row and no column per category ever exists. A null number is an error.
+        """
+        from pyspark.ml.linalg import VectorUDT
+
+        made = self._numbers()
+        start = len(made) + sum(max(n - 1, 0) for n in self.widths().values())
+        width = start + len(self.ordinal)
+        checks = [F.when(x.isNull(), F.raise_error(F.lit(f"null in feature column {c}"))) for c, x in made.items()]
+        df = df.withColumn("_null", F.coalesce(*checks, F.lit(None)).cast("string"))
+        used = {*self.numerical, *self.nominal, *self.ordinal} - {key}
+        rest = df.select(*[col(c) for c in df.columns if c not in used])   # keeps the null checks
+        entries = self.sparse(df, key)
+        if self.ordinal:
+            codes = F.array(*[F.struct(F.lit(start + i).cast("long").alias("index"),
+                                       _position(order, col(c), "ordinal", c).cast("double").alias("value"))
+                              for i, (c, order) in enumerate(self.ordinal.items())])
+            entries = entries.unionByName(df.select(col(key).alias("key"), F.explode(codes).alias("e"))
+                                            .select("key", "e.*").where(F.col("value") != 0))
+        gathered = entries.groupBy(F.col("key").alias("_key")).agg(
+            F.sort_array(F.collect_list(F.struct(F.col("index").cast("int").alias("i"), F.col("value").alias("v")))).alias("_e"))
+        # a sparse vector as Spark ML stores it: type 0, size, indices, values
+        empty = F.array().cast("array<struct<i: int, v: double>>")
+        e = F.coalesce("_e", empty)
+        vector = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(width).alias("size"),
+                          F.transform(e, lambda x: x["i"]).alias("indices"), F.transform(e, lambda x: x["v"]).alias("values"))
+        joined = rest.join(gathered, rest[key] == gathered["_key"], "left").withColumn(out, vector).where(
+            F.col("_null").isNull()).drop("_key", "_e", "_null")
+        path = new_path(df.sparkSession, "sparse-vectors")
+        joined.write.parquet(path)
+        kinds = T.StructType([T.StructField(f.name, VectorUDT() if f.name == out else f.dataType) for f in joined.schema.fields])
+        return df.sparkSession.read.schema(kinds).parquet(path)
+
     def _numbers(self) -> dict[str, Column]:
         out: dict[str, Column] = {}
         suffix = {"standard": "", "both": "_std"}

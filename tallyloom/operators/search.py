@@ -2,6 +2,10 @@
 
 A trial is one parameter set scored on every fold; its fits and predictions are Spark jobs, a few
 of which run side by side. Only scores come back to the driver.
+
+All jobs of a trial carry its tag and run in a scheduler pool of their own (pools share the executors
+evenly where the session sets ``spark.scheduler.mode=FAIR``). When a fold fails, or runs beyond the time
+limit, the jobs of its other folds are cancelled by the tag, and what is not yet begun is left out.
 """
 
 from __future__ import annotations
@@ -10,7 +14,9 @@ import hashlib
 import itertools
 import json
 import math
+import threading
 import time
+import uuid
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -153,6 +159,7 @@ class SearchSettings:
     parallelism: int = 4
     balance: str | float | None = None
     seed: int = 42
+    trial_seconds: float | None = None   # longest that one fold of a trial may run; beyond it the trial has failed
 
 
 def balanced(df: DataFrame, s: SearchSettings) -> DataFrame:
@@ -169,32 +176,89 @@ def score(predicted: DataFrame, label: str = "label", metric: str = "balanced_ac
     return average_metrics(confusion(predicted, label=label)).first()[metric]
 
 
+class _Trials:
+    """What has become of each trial; cancels the Spark jobs of those that failed or take too long."""
+
+    def __init__(self, spark: SparkSession, n: int, limit: float | None):
+        self.sc, self.limit = spark.sparkContext, limit
+        name = uuid.uuid4().hex
+        self.tags = [f"trial-{name}-{i}" for i in range(n)]
+        self.errors: list[str | None] = [None] * n
+        self.running: list[dict[int, float]] = [{} for _ in range(n)]     # thread -> when its fold began
+        self.lock, self.over = threading.Lock(), threading.Event()
+        self.watcher = threading.Thread(target=self._watch, daemon=True)
+
+    def __enter__(self) -> "_Trials":
+        self.watcher.start()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.over.set()
+        self.watcher.join()
+
+    def fail(self, i: int, error: str) -> None:
+        """The first error of a trial is its result."""
+        with self.lock:
+            self.errors[i] = self.errors[i] or error
+        self.sc.cancelJobsWithTag(self.tags[i])
+
+    def _watch(self) -> None:
+        while not self.over.wait(0.2):
+            for i, folds in enumerate(self.running):
+                with self.lock:
+                    first = min(folds.values(), default=None)
+                if first is None:
+                    continue
+                if self.errors[i]:                          # a fold between two jobs has started another one
+                    self.sc.cancelJobsWithTag(self.tags[i])
+                elif self.limit is not None and time.monotonic() - first > self.limit:
+                    self.fail(i, f"over the time limit of {self.limit:g} s")
+
+    def run(self, i: int, work):
+        """``work()`` under the trial's tag and pool, or None if the trial has failed or fails now."""
+        with self.lock:
+            if self.errors[i]:
+                return None
+            self.running[i][threading.get_ident()] = time.monotonic()
+        self.sc.addJobTag(self.tags[i])
+        self.sc.setLocalProperty("spark.scheduler.pool", self.tags[i])
+        try:
+            return work()
+        except Exception as e:      # noqa: BLE001 - any failure of a trial counts as its result
+            self.fail(i, f"{type(e).__name__}: {e}"[:300])
+            return None
+        finally:
+            self.sc.removeJobTag(self.tags[i])
+            self.sc.setLocalProperty("spark.scheduler.pool", None)
+            with self.lock:
+                self.running[i].pop(threading.get_ident())
+
+
 def cross_validate(df: DataFrame, make, params_list: Sequence[dict], s: SearchSettings,
                    first_trial: int = 0) -> list[Trial]:
     """Score every parameter set on every fold. A failing fit fails its trial, not the search."""
     grown = {f: (balanced(df.where(F.col(s.fold) != f), s) if s.balance is not None
                  else df.where(F.col(s.fold) != f)) for f in range(s.folds)}
+    state = _Trials(df.sparkSession, len(params_list), s.trial_seconds)
 
-    def one(job: tuple[int, int]) -> tuple[int, int, float | None, float, str | None]:
+    def one(job: tuple[int, int]) -> tuple[int, int, float | None, float]:
         i, f = job
         start = time.monotonic()
-        try:
+
+        def work() -> float:
             model = make(params_list[i]).fit(grown[f])
-            value = score(model.transform(df.where(F.col(s.fold) == f)), s.label, s.metric)
-            return i, f, value, time.monotonic() - start, None
-        except Exception as e:      # noqa: BLE001 - any failure of a trial counts as its result
-            return i, f, None, time.monotonic() - start, f"{type(e).__name__}: {e}"[:300]
+            return score(model.transform(df.where(F.col(s.fold) == f)), s.label, s.metric)
+        value = state.run(i, work)
+        return i, f, value, time.monotonic() - start
 
     jobs = [(i, f) for i in range(len(params_list)) for f in range(s.folds)]
-    with ThreadPoolExecutor(max_workers=s.parallelism) as pool:
+    with state, ThreadPoolExecutor(max_workers=s.parallelism) as pool:
         run = inheritable_thread_target(df.sparkSession)(one)
         done = list(pool.map(run, jobs))
     trials = []
     for i, p in enumerate(params_list):
-        mine = sorted(d for d in done if d[0] == i)
-        errors = [d[4] for d in mine if d[4]]
-        trials.append(Trial(first_trial + i, p, [d[2] for d in mine], sum(d[3] for d in mine),
-                            errors[0] if errors else None))
+        mine = sorted((d for d in done if d[0] == i), key=lambda d: d[1])
+        trials.append(Trial(first_trial + i, p, [d[2] for d in mine], sum(d[3] for d in mine), state.errors[i]))
     return trials
 
 

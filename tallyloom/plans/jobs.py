@@ -6,6 +6,7 @@ label, features); each later step reads that frame.
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
@@ -26,11 +27,11 @@ from tallyloom.operators.evaluate import (
 )
 from tallyloom.operators.features import engineer_behavior
 from tallyloom.operators.prep import (
-    DataEncoder, DataImputer, LabelCodes, balance_data, column_kinds, to_vector,
+    MAX_CATEGORIES, DataEncoder, DataImputer, LabelCodes, balance_data, column_kinds, to_vector,
 )
 from tallyloom.operators.profile import vector_distinct_counts
 from tallyloom.operators.search import (
-    SearchResult, SearchSettings, candidates, create_pipeline, run_search, score,
+    SearchResult, SearchSettings, balanced, candidates, create_pipeline, run_search, score,
 )
 from tallyloom.operators.split import (
     split_by_groups_and_target, split_by_target, stratified_folds, whole_group_folds,
@@ -70,6 +71,7 @@ class Settings:
     use_voting: bool = False
     voting_folds: int = 5            # folds of an ensemble's cross-validated score; 0 leaves it out
     parallelism: int = 4
+    trial_seconds: float | None = None  # longest run of one fold; beyond it its trial is cancelled and failed
     program: str = "base"
     spaces: dict = field(default_factory=dict)           # model -> space instead of the registry's
     selector_spaces: dict = field(default_factory=dict)
@@ -77,6 +79,7 @@ class Settings:
 
     def search_settings(self) -> SearchSettings:
         return SearchSettings(folds=self.folds, parallelism=self.parallelism, seed=self.seed,
+                              trial_seconds=self.trial_seconds,
                               balance=None if self.balance_first else self.balance)
 
 
@@ -127,11 +130,13 @@ def prepare(df: DataFrame, s: Settings) -> Prepared:
     train = imputed.where(F.col("split") == "train")
     kinds = column_kinds(train.select(*features), s.categorical_threshold)
     encoder = DataEncoder(kinds.numerical, kinds.nominal, scaling=s.scaling).fit(train)
-    encoded = encoder.transform(imputed)
-    names = encoder.output_columns
     group = F.col(s.group) if s.group else F.lit(None).cast("long")
-    vectors = to_vector(encoded, names).select(
-        F.col(s.key).alias("row_id"), group.alias("group"), "split", "label", "features")
+    if max(encoder.widths().values(), default=0) > MAX_CATEGORIES:     # too many for a column each; the values are the same
+        encoded, names = encoder.sparse_vectors(imputed, s.key), encoder.sparse_columns()
+    else:
+        names = encoder.output_columns
+        encoded = to_vector(encoder.transform(imputed), names)
+    vectors = encoded.select(F.col(s.key).alias("row_id"), group.alias("group"), "split", "label", "features")
     return Prepared(add_folds(materialise(vectors, "vectors"), s), names, codes.classes)
 
 
@@ -263,9 +268,9 @@ def save_stage(result: StageResult, prepared: Prepared, s: Settings, store: str)
     info = spark.createDataFrame(
         [(result.stage, s.search, float(result.search.best_score), float(result.seconds),
           {k: str(v) for k, v in result.search.best_params.items()}, [str(c) for c in prepared.classes],
-          list(prepared.feature_names))],
+          list(prepared.feature_names), json.dumps(result.search.best_params))],
         "stage string, training_type string, cv_score double, seconds double, "
-        "hyperparameters map<string,string>, classes array<string>, features array<string>")
+        "hyperparameters map<string,string>, classes array<string>, features array<string>, parameters string")
     stores.save_metrics(stores.metric_records(result.metrics, info, result.cells), f"{store}/metrics")
 
 
@@ -275,15 +280,15 @@ def _save_report(cells: DataFrame, store: str) -> None:
     stores.write_report(report, f"{store}/class-reports", by_stage=True)
 
 
-def _stored(spark: SparkSession, store: str, done: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
-    """(metrics, trials, models) of the finished stages."""
+def _stored(spark: SparkSession, store: str, done: DataFrame) -> tuple[DataFrame, DataFrame, dict, dict]:
+    """(metrics, trials, models, parameters) of the finished stages."""
     names = materialise(done.select("stage").distinct(), "done")
     records = stores.load_all_metrics(spark, f"{store}/metrics").join(
         names.withColumnRenamed("stage", "stage_name"), "stage_name", "left_semi")
     trials = stores.load_trials(spark, f"{store}/trials").join(names, "stage", "left_semi")
     models = {r["stage"]: r["stage"] for r in bounded_rows(
         stores.latest_models(spark, store).join(names, "stage", "left_semi"), 10_000, "stages")}
-    return stores.unpack_metrics(records), trials, models
+    return stores.unpack_metrics(records), trials, models, stores.stored_parameters(records)
 
 
 def execute_all_stages(prepared: Prepared, s: Settings, store: str | None = None,
@@ -299,13 +304,14 @@ def execute_all_stages(prepared: Prepared, s: Settings, store: str | None = None
                            10_000, "stages")
     metrics = trials = None
     models: dict = {}
+    params: dict = {}
     if done is not None and store is not None and not done.isEmpty():
-        metrics, trials, models = _stored(spark, store, done)
+        metrics, trials, models, params = _stored(spark, store, done)
         metrics = metrics.where(~F.col("stage").startswith(VOTING_PREFIX))
         models = {m: stores.load_model(spark, store, m) for m in models if not m.startswith(VOTING_PREFIX)}
         metrics, trials = materialise(metrics, "stored"), materialise(trials, "stored")
     train = training_rows(prepared, s) if pending else None
-    results, params = [], {}
+    results = []
     for r in pending:
         result = execute_stage(prepared, train, r["model"], r["selector"], s)
         results.append(result)
@@ -333,14 +339,16 @@ def build_voting(models: dict, members: Sequence[str], voting: str, n_classes: i
 
 def ensemble_cv_score(prepared: Prepared, result_params: dict[str, dict], members: Sequence[str],
                       s: Settings, voting: str = "soft", k: int = 5) -> float:
-    """Mean out-of-fold balanced accuracy of the vote: members are refitted on each k-1 folds."""
+    """Mean out-of-fold balanced accuracy of the vote: members are refitted on each k-1 folds, which are
+    oversampled as the members' training rows were."""
+    how = replace(s.search_settings(), balance=s.balance)
     train = stratified_folds(prepared.data.where(F.col("split") == "train").drop("fold"),
                              "label", "row_id", k, s.seed)
     train = materialise(train, "vote-folds")
     scores = []
     for f in range(k):
-        fitted = [create_pipeline(*m.split("_", 1), result_params[m], seed=s.seed)
-                  .fit(train.where(F.col("fold") != f)) for m in members]
+        rows = balanced(train.where(F.col("fold") != f), how)
+        fitted = [create_pipeline(*m.split("_", 1), result_params[m], seed=s.seed).fit(rows) for m in members]
         vote = VotingModel(fitted, voting, len(prepared.classes))
         scores.append(score(vote.transform(train.where(F.col("fold") == f))))
     return sum(scores) / k
@@ -351,7 +359,7 @@ def evaluate_ensembles(prepared: Prepared, models: dict, summary: DataFrame, s:
                        voting: str = "soft", store: str | None = None, params: dict | None = None) -> DataFrame:
     """Metrics of one ensemble per size; a size beyond the number of model families takes all families.
 
-    With ``s.voting_folds`` the vote of members whose parameters are known also gets a cross-validated score (split
+    With ``s.voting_folds`` the vote of members whose parameters are known (run now, or stored) also gets a cross-validated score (split
     'train', metric 'CV Score'). With a store, every ensemble and its metrics are saved.
     """
     members = choose_members(summary, max(sizes), metric)

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions.scale import bounded_rows
 from tallyloom.operators.ensemble import VotingModel
 from tallyloom.operators.evaluate import AVG_METRICS, class_scores, long_metrics, nested_report
 
 # one record per stage: its settings beside a map of metrics for each split, and by split the class
-# report as JSON text and the counted cells of the confusion matrix
+# report as JSON text and the counted cells of the confusion matrix; ``parameters`` holds the
+# hyperparameters once more as JSON, which keeps their types
 METRICS_SCHEMA = ("stage_name string, training_type string, cv_score double, seconds double, "
                   "train_metrics map<string,double>, val_metrics map<string,double>, "
                   "test_metrics map<string,double>, hyperparameters map<string,string>, "
                   "classes array<string>, features array<string>, class_reports map<string,string>, "
-                  "confusion map<string,array<struct<label:double,prediction:double,n:bigint>>>")
+                  "confusion map<string,array<struct<label:double,prediction:double,n:bigint>>>, parameters string")
 MODELS_SCHEMA = "stage string, path string, saved_at timestamp, kind string"
 
 
@@ -27,7 +31,7 @@ def metric_records(metrics: DataFrame, info: DataFrame, cells: DataFrame | None
         entry = F.when(F.col("split") == split, F.struct(F.col("metric"), F.col("value")))
         return F.map_from_entries(F.collect_list(entry))     # a handful of metrics per stage
     nested = metrics.groupBy("stage").agg(*[of(s).alias(f"{s}_metrics") for s in ("train", "val", "test")])
-    more = [c for c in ("hyperparameters", "classes", "features") if c in info.columns]
+    more = [c for c in ("hyperparameters", "classes", "features", "parameters") if c in info.columns]
     out = nested.join(info, "stage", "left")
     if cells is not None:
         by = ["stage", "split"]
@@ -43,8 +47,8 @@ def metric_records(metrics: DataFrame, info: DataFrame, cells: DataFrame | None
 
 
 def save_metrics(records: DataFrame, path: str) -> None:
-    """Append nested records as JSON, one folder per stage."""
-    records.write.mode("append").partitionBy("stage_name").json(path)
+    """Write nested records as JSON, one folder per stage; a stage written before is replaced."""
+    (records.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stage_name").json(path))
 
 
 def load_all_metrics(spark: SparkSession, path: str) -> DataFrame:
@@ -56,6 +60,12 @@ def load_metrics(spark: SparkSession, path: str, stage: str) -> DataFrame:
     return load_all_metrics(spark, path).where(F.col("stage_name") == stage)
 
 
+def stored_parameters(records: DataFrame) -> dict[str, dict]:
+    """stage -> the parameters it was trained with, of the stages that have any (a row per stage of a sweep)."""
+    rows = bounded_rows(records.where("parameters is not null").select("stage_name", "parameters"), 10_000, "stages")
+    return {r["stage_name"]: json.loads(r["parameters"]) for r in rows}
+
+
 def flat_metrics(records: DataFrame) -> DataFrame:
     """Stage, training type, cross-validation score and one column per test metric."""
     return records.select(
@@ -98,7 +108,8 @@ def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def save_trials(trials: DataFrame, path: str) -> None:
-    trials.write.mode("append").partitionBy("stage").parquet(path)
+    """One folder per stage; the trials of a stage that is run again replace those of the run before."""
+    trials.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stage").parquet(path)
 
 
 def load_trials(spark: SparkSession, path: str) -> DataFrame:
