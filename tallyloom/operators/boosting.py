@@ -55,7 +55,7 @@ def _rows(df: DataFrame, features: str, label: str) -> DataFrame:
 
 def _side_by_side(spark: SparkSession, fit: Callable, jobs: Sequence) -> list:
     with ThreadPoolExecutor(max_workers=PARALLEL_TREES) as pool:
-        return list(pool.map(inheritable_thread_target(spark)(fit), jobs))
+        return [r.result() for r in [pool.submit(inheritable_thread_target(spark)(fit), job) for job in jobs]]
 
 
 def leaf_sums(df: DataFrame, trees: Sequence[FlatTree], used: list[int], channels: int) -> dict[tuple[int, int], np.ndarray]:

@@ -253,8 +253,9 @@ def cross_validate(df: DataFrame, make, params_list: Sequence[dict], s: SearchSe
 
     jobs = [(i, f) for i in range(len(params_list)) for f in range(s.folds)]
     with state, ThreadPoolExecutor(max_workers=s.parallelism) as pool:
-        run = inheritable_thread_target(df.sparkSession)(one)
-        done = list(pool.map(run, jobs))
+        # wrapped once per job: the jobs of one wrapper would share their tags
+        running = [pool.submit(inheritable_thread_target(df.sparkSession)(one), job) for job in jobs]
+        done = [r.result() for r in running]
     trials = []
     for i, p in enumerate(params_list):
         mine = sorted((d for d in done if d[0] == i), key=lambda d: d[1])

@@ -209,7 +209,8 @@ class EliminationSelector(Estimator):
             self._path(rows.where(F.col("_inner") != f), sizes, rows.where(F.col("_inner") == f), f)
 
         with ThreadPoolExecutor(max_workers=PARALLEL_FOLDS) as pool:
-            list(pool.map(inheritable_thread_target(df.sparkSession)(one), folds))
+            for r in [pool.submit(inheritable_thread_target(df.sparkSession)(one), f) for f in folds]:
+                r.result()
         mean = {n: np.mean([s for _, m, s in self.scores if m == n]) for n in sizes}
         best = min(sizes, key=lambda n: (-mean[n], n))
         upto = sizes[:sizes.index(best) + 1]
