@@ -14,7 +14,7 @@ from tallyloom.catalog.base import (
 )
 from tallyloom.catalog.evaluation import BY, SUMMARY_CTE, _conf, _metrics, _summary
 from tallyloom.functions.scale import materialise, new_path
-from tallyloom.operators import evaluate, prep, profile, search, selection
+from tallyloom.operators import evaluate, information, prep, profile, search, selection
 from tallyloom.operators.models import Classifier, GaussianNB, naive_bayes_table
 from tallyloom.operators.split import split_by_target, stratified_folds
 from tallyloom.plans import jobs
@@ -218,6 +218,39 @@ def k1(spark, sf):
     return out(selection.mutual_information(_matrix(spark, sf)))
 
 
+_DIGAMMA = """(ln({0} + 6.0) - 0.5 / ({0} + 6.0) - 1 / 12.0 / ({0} + 6.0) ** 2 + 1 / 120.0 / ({0} + 6.0) ** 4
+    - 1 / 252.0 / ({0} + 6.0) ** 6 + 1 / 240.0 / ({0} + 6.0) ** 8
+    - 1.0 / {0} - 1.0 / ({0} + 1) - 1.0 / ({0} + 2) - 1.0 / ({0} + 3) - 1.0 / ({0} + 4) - 1.0 / ({0} + 5))"""
+
+
+@query("q_k1_neighbor_information", f"""with u as (select vec_id, label as y, unnest(embedding)::double as x,
+      unnest(range(0, 64)) as feature from embeddings),
+    d as (select a.feature, a.vec_id, a.y, a.x, abs(a.x - b.x) as d,
+        row_number() over (partition by a.feature, a.vec_id order by abs(a.x - b.x)) as r
+      from u a join u b on a.feature = b.feature and a.y = b.y and a.vec_id <> b.vec_id qualify r <= 3),
+    e as (select feature, vec_id, y, x, max(d) as d from d group by all),
+    c as (select e.feature, e.vec_id, e.y, count(*)::double as m, count(*) filter (u.y = e.y)::double as own
+      from e join u on u.feature = e.feature and case when e.d > 0 then u.x > e.x - e.d and u.x < e.x + e.d else u.x = e.x end
+      group by all),
+    t as (select *, count(*) over (partition by feature, y)::double as ny, count(*) over (partition by feature)::double as n from c)
+    select feature, round(greatest(avg({_DIGAMMA.format('n')} - {_DIGAMMA.format('ny')} + {_DIGAMMA.format('own')}
+      - {_DIGAMMA.format('m')}), 0), 6) as score from t group by feature""")
+def k1_neighbors(spark, sf):
+    return out(information.neighbor_information(_matrix(spark, sf)))
+
+
+@query("q_k1_quantile_information", """with u as (select label as y, unnest(embedding)::double as x, unnest(range(0, 64)) as feature
+      from embeddings),
+    q as (select feature, quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) as q from u group by 1),
+    b as (select u.feature, y, len(list_filter(q, lambda e: e < x)) as b from u join q on u.feature = q.feature),
+    c as (select feature, b, y, count(*)::double as n from b group by all),
+    m as (select *, sum(n) over (partition by feature, b) as nx, sum(n) over (partition by feature, y) as ny,
+      sum(n) over (partition by feature) as t from c)
+    select feature, round(sum(n / t * ln(n * t / (nx * ny))), 6) as score from m group by 1""")
+def k1_quantiles(spark, sf):
+    return out(information.quantile_information(_matrix(spark, sf)))
+
+
 def _kept(spark, sf, selector: str, params: dict) -> DataFrame:
     df = materialise(stratified_folds(_matrix(spark, sf), "label", "row_id", 3), "rows")
     model = selection.build_selector(selector, params).fit(df)

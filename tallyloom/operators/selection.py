@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.scale import bounded_rows, materialise
 from tallyloom.operators.evaluate import average_metrics, confusion
+from tallyloom.operators.information import neighbor_information, quantile_information
 from tallyloom.operators.profile import entropy_terms
 from tallyloom.operators.split import stratified_folds
 
@@ -70,16 +71,30 @@ def mutual_information(df: DataFrame, features: str = "features", label: str = "
 
 
 class MutualInformationSelector(Estimator):
-    """The k features of highest mutual information ('all' keeps every one)."""
+    """The k features of highest mutual information ('all' keeps every one).
 
-    def __init__(self, k: int | str = 10, bins: int = 10, features: str = "features",
-                 label: str = "label", out: str = "selected"):
+    ``estimator``: 'bins' (a number of equal width, or 'quantile' for ten of equal counts) or 'neighbors'.
+    """
+
+    def __init__(self, k: int | str = 10, bins: int | str = 10, features: str = "features",
+                 label: str = "label", out: str = "selected", estimator: str = "bins", n_neighbors: int = 3):
         super().__init__()
+        if estimator not in ("bins", "neighbors") or isinstance(bins, str) and bins != "quantile":
+            raise ValueError(f"unknown estimator {estimator} with bins {bins}")
         self.k, self.bins, self.names = k, bins, (features, label, out)
+        self.estimator, self.n_neighbors = estimator, n_neighbors
+
+    def scores(self, df: DataFrame) -> DataFrame:
+        features, label, _ = self.names
+        if self.estimator == "neighbors":
+            return neighbor_information(df, features, label, self.n_neighbors)
+        if self.bins == "quantile":
+            return quantile_information(df, features, label)
+        return mutual_information(df, features, label, self.bins)
 
     def _fit(self, df: DataFrame) -> Model:
         features, label, out = self.names
-        ranked = mutual_information(df, features, label, self.bins)
+        ranked = self.scores(df)
         width = df.select(F.size(vector_to_array(features))).first()[0]   # one score per column
         n = width if self.k == "all" else int(self.k)
         rows = bounded_rows(ranked.orderBy(F.desc("score"), "feature").limit(n), width, "features")
