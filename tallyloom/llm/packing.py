@@ -44,7 +44,7 @@ FINE = 64           # lengths up to here are classes of their own
 CLOSING = 0
 CACHE_WORDS = 300_000
 BLOCK_BYTES = 2 << 20
-MAX_ROUNDS = 20_000
+MAX_ROUNDS = 200_000    # beyond it the patterns found so far are used: valid, perhaps not the best
 SPECIAL = ("<|endoftext|>",)   # fixed value: strings of the tokenizer's special tokens
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 # white space that is doubled or neither blank nor line feed, and the mark of a text's beginning
@@ -179,22 +179,26 @@ def token_pieces(docs: DataFrame, text: str = "text", id_col: str = "doc_id", ca
 # ------------------------------------------------------------------ patterns
 
 def best_pattern(value: np.ndarray, size: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """Unbounded knapsack by dynamic programming over the used capacity."""
-    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for room in range(1, capacity + 1):
-        fits = size <= room
-        worth = np.where(fits, best[np.maximum(room - size, 0)] + value, -1.0)
-        k = int(worth.argmax())
-        best[room] = best[room - 1]
-        if worth[k] > best[room]:
-            best[room], last[room] = worth[k], k
+    """Unbounded knapsack by dynamic programming over the used capacity.
+
+    A class is added as 1, 2, 4, ... copies, which together allow any number of them.
+    """
+    best, trial = np.zeros(capacity + 1), np.empty(capacity + 1)
+    for s, v in zip(size.tolist(), value.tolist()):
+        while v > 0 and s <= capacity:
+            np.add(best[:-s], v, out=trial[s:])
+            np.maximum(best[s:], trial[s:], out=best[s:])
+            s, v = 2 * s, 2 * v
     pattern, room = np.zeros(len(size), int), capacity
-    while room > 0:
-        if last[room] < 0:
+    while best[room] > 0:
+        fits = np.flatnonzero((size <= room) & (value > 0))
+        worth = best[room - size[fits]] + value[fits]
+        k = int(worth.argmax())
+        if worth[k] < best[room] - 1e-12:      # nothing ends here
             room -= 1
             continue
-        pattern[last[room]] += 1
-        room -= size[last[room]]
+        pattern[fits[k]] += 1
+        room -= int(size[fits[k]])
     return float(best[capacity]), pattern
 
 
