@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.catalog.base import log_cte, log_view, out, query, table
-from tallyloom.operators import clean, prep, profile
+from tallyloom.operators import clean, phik, prep, profile
 
 _SHARE = "count(*) / sum(count(*)) over ()::double"
 
@@ -308,6 +308,39 @@ def a19_pairs(spark, sf):
     return out(found)
 
 
+_PHI_K = ["num_click_passo", "num_passos_equacao", "tempo_passo", "log_type"]
+
+
+@query("q_a19_phi_k")
+def a19_phi_k(spark, sf):
+    found = phik.phi_k_pairs(log_view(spark, sf, *_PHI_K), _PHI_K)
+    return out(found, "f1", "f2", "n", "phi_k")
+
+
+def _bin_sql(c):
+    if c == "log_type":
+        return c
+    return (f"case when {c} is not null then lpad(least(floor(({c}::double - min({c}) over ()) * 10 / "
+            f"(max({c}) over () - min({c}) over ())), 9)::integer::varchar, 4, '0') end as {c}")
+
+
+@query("q_a19_phi_k_facts", f"""with {log_cte(*_PHI_K)}, c as (select {', '.join(map(_bin_sql, _PHI_K))} from log),
+    p as ({' union all '.join(f"select '{a}' as f1, '{b}' as f2, {a} as x, {b} as y, count(*)::double as n from c "
+                              f"where {a} is not null and {b} is not null group by all"
+                              for i, a in enumerate(_PHI_K) for b in _PHI_K[i + 1:])}),
+    m as (select *, sum(n) over (partition by f1, f2, x) as nx, sum(n) over (partition by f1, f2, y) as ny,
+      sum(n) over (partition by f1, f2) as t from p),
+    s as (select f1, f2, any_value(t)::bigint as n, count(distinct x)::integer as "rows", count(distinct y)::integer as columns,
+      any_value(t) * (sum(n * n / (nx * ny)) - 1) as chi2 from m group by f1, f2)
+    select f1, f2, n, "rows", columns, round(chi2, 3) as chi2,
+      chi2 > ("rows" - 1) * (columns - 1) + sqrt(2 * ("rows" - 1) * (columns - 1)) as correlated from s""")
+def a19_phi_k_facts(spark, sf):
+    """The counted tables: their chi-square, and that phi_k is 0 exactly below the pedestal."""
+    found = phik.phi_k_pairs(log_view(spark, sf, *_PHI_K), _PHI_K)
+    return found.select("f1", "f2", "n", "rows", "columns", F.round("chi2", 3).alias("chi2"),
+                        (F.col("phi_k") > 0).alias("correlated"))
+
+
 @query("q_a21_label_index", """with l as (select distinct label from embeddings)
     select label as class, row_number() over (order by label) - 1 as idx from l""")
 def a21(spark, sf):
