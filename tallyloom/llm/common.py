@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.scale import BROADCAST_ROWS, store
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BREAK = r"[\x20\x09-\x0D]+"
 SLICES = 4096   # slices of one group's order; a window holds one slice
 
@@ -70,3 +77,12 @@ def sliced_rank(df: DataFrame, by: list[str], digest: str, ties: list[str],
     return (ranked.join(starts, [*by, "_slice"])
                   .withColumn(rank, F.col("_start") + F.col("_at") - 1)
                   .drop("_slice", "_start", "_at"))
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a Python worker outlives its task and keeps what it once needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):      # another C library
+        pass

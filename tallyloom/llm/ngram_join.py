@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.scale import materialise
-from tallyloom.llm.common import rows_packed, text_of
+from tallyloom.llm.common import rows_packed, text_of, trim
 from tallyloom.llm.exact_dedup import filter_bits, hit_bitmap, probe_bitmap
 from tallyloom.llm.graph import components
 from tallyloom.llm.shingles import narrow, set_keys, shingle_sets, smallest, widen
@@ -49,7 +49,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 PERCENT = 80
 BUCKET_BYTES = 8 << 20     # of text whose tokens meet in one bucket
 FLUSH_BYTES = 8 << 20
-BLOCK_BYTES = 1 << 20       # of text hashed at once; numpy needs about 50 times that
+BLOCK_BYTES = 1 << 19       # of text hashed at once; numpy needs about 50 times that
 HOT_LEAST = 1000           # nodes that make a token hot at least
 HOT_TOKENS = 200_000       # tokens that can be hot at most
 ORDERS = (1, 2)            # salts of the further hash orders
@@ -86,6 +86,7 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array(set_keys(token, counts).view(np.int64), pa.int64()), b.column("h").slice(at, len(ids))],
                 ["doc_id", "n", "k", "h"])
             at += len(ids)
+    trim()
 
 
 class _Flush:
@@ -122,6 +123,8 @@ def _flushes(batches) -> Iterator[_Flush]:
                 now = _Flush()
     if now.keys:
         yield now
+    del now
+    trim()
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

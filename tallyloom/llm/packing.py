@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.scale import materialise
-from tallyloom.llm.common import id_text, sliced_rank
+from tallyloom.llm.common import id_text, sliced_rank, trim
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -163,6 +163,8 @@ def _piecer(capacity: int, with_ids: bool, folder: str | None):
                     rows.append((doc, a, len(part) // 4, zlib.crc32(part), n, part if with_ids else None))
             kinds = [b.column("doc_id").type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+        del tokenizer
+        trim()
     return run
 
 
