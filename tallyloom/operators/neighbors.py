@@ -113,24 +113,90 @@ class _Cells:
         return chosen
 
 
+def chunk_ranker(width: int, k: int, metric: str, exclude_self: bool):
+    """The task function (queries, donors of one pair of chunks) -> the k best donors of every query."""
+    def local_best(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        names = ["q_key", "target", "d_key", "distance", "payload"]
+        if len(q) == 0 or len(d) == 0:
+            return pd.DataFrame({n: [] for n in names})
+        d = d.sort_values("key", kind="stable")
+        x, y = _matrix(q["vec"], width), _matrix(d["vec"], width)
+        q_key, d_key = q["key"].to_numpy(), d["key"].to_numpy()
+        target, payload = q["target"].to_numpy(), d["payload"].to_numpy(dtype="float64")
+        out = []
+        step = max(MATRIX_CELLS // len(y), 1)
+        for s in range(0, len(x), step):
+            dist = _distances(x[s:s + step], y, metric)
+            if exclude_self:
+                dist[q_key[s:s + step][:, None] == d_key[None, :]] = np.nan
+            wanted = target[s:s + step]
+            for t in np.unique(wanted[wanted >= 0]):          # a donor must know what it is asked for
+                dist[np.ix_(wanted == t, np.isnan(y[:, t]))] = np.nan
+            best = np.argsort(dist, axis=1, kind="stable")[:, :k]   # NaN sorts last
+            value = np.take_along_axis(dist, best, axis=1)
+            qi, ri = np.nonzero(~np.isnan(value))
+            di = best[qi, ri]
+            t = target[s:s + step][qi]
+            out.append(pd.DataFrame({
+                "q_key": q_key[s:s + step][qi], "target": t, "d_key": d_key[di],
+                "distance": value[qi, ri],
+                "payload": np.where(t >= 0, y[di, np.maximum(t, 0)], payload[di])}))
+        return pd.concat(out)
+    return local_best
+
+
+def scan_cells(routed: DataFrame, celled: DataFrame, cells: DataFrame, cell: list[str], ranker,
+               schema: str, chunk: int) -> DataFrame:
+    """The best donors of every query within the cells it was sent to.
+
+    ``cells`` holds the rows ``n`` of each cell; cells and their queries are cut into chunks of about
+    ``chunk`` rows, and every pair of chunks is one group.
+    """
+    load = routed.groupBy(*cell).agg(F.count(F.lit(1)).alias("nq"))
+    plan, n_cells = store(cells.join(load, cell).select(
+        *cell, F.ceil(F.col("n") / chunk).cast("int").alias("dn"),
+        F.ceil(F.col("nq") / chunk).cast("int").alias("qn")), "plan")
+    plan = F.broadcast(plan) if n_cells <= MAX_CELLS else plan
+    q = (routed.join(plan, cell)
+         .withColumn("qc", F.pmod(F.xxhash64("key", "target"), F.col("qn")).cast("int"))
+         .withColumn("dc", F.explode(F.sequence(F.lit(0), F.col("dn") - 1))))
+    d = (celled.join(plan, cell)
+         .withColumn("dc", F.pmod(F.xxhash64("key"), F.col("dn")).cast("int"))
+         .withColumn("qc", F.explode(F.sequence(F.lit(0), F.col("qn") - 1))))
+    keys = [*cell, "dc", "qc"]
+    return (q.drop("dn", "qn").groupBy(*keys).cogroup(d.drop("dn", "qn").groupBy(*keys))
+            .applyInPandas(ranker, schema))
+
+
+def distinct_donors(donors: DataFrame, need: int) -> DataFrame:
+    """Of identical donors only the first ``need`` by key can ever be among the nearest."""
+    copies = Window.partitionBy("block", "vec").orderBy("key")
+    return (donors.select("key", "block", "payload", "vec")
+            .withColumn("_rn", F.row_number().over(copies)).where(F.col("_rn") <= need).drop("_rn"))
+
+
 def nearest(queries: DataFrame, donors: DataFrame, k: int, metric: str = "euclidean",
             exclude_self: bool = False, chunk: int = CHUNK, max_pivots: int = MAX_PIVOTS,
-            max_cells: int = MAX_CELLS) -> DataFrame:
+            max_cells: int = MAX_CELLS, recall: float | None = None, **options) -> DataFrame:
     """(q_key, target, rank, d_key, distance, payload): the k nearest donors of every query.
 
     ``queries``: key, block, target, vec; ``donors``: key, block, payload, vec. ``block`` (string)
     must match; ``target`` >= 0 asks for donors that know that coordinate and returns it as the
     payload, -1 returns the donor's own payload. Ties go to the smaller donor key.
+
+    ``recall`` asks for the approximate join of ``approximate.py`` with its ``options``; without it
+    the answer is exact.
     """
     if metric not in ("euclidean", "manhattan"):
         raise ValueError(f"unknown metric {metric}")
+    if recall is not None:
+        from tallyloom.operators.approximate import nearest_approximately
+        return nearest_approximately(queries, donors, k, metric, exclude_self, recall=recall, **options)
+    if options:
+        raise ValueError(f"only the approximate join takes {sorted(options)}")
     need = k + 1 if exclude_self else k
     queries, n_queries = store(queries.select("key", "block", "target", "vec"), "queries")
-    # of identical donors only the first `need` by key can ever be among the nearest
-    copies = Window.partitionBy("block", "vec").orderBy("key")
-    distinct = (donors.select("key", "block", "payload", "vec")
-                .withColumn("_rn", F.row_number().over(copies)).where(F.col("_rn") <= need).drop("_rn"))
-    donors, n_donors = store(distinct, "donors")
+    donors, n_donors = store(distinct_donors(donors, need), "donors")
     key_type = donors.schema["key"].dataType.simpleString()
     out_schema = (f"q_key {queries.schema['key'].dataType.simpleString()}, target int, "
                   f"d_key {key_type}, distance double, payload double")
@@ -228,49 +294,9 @@ def nearest(queries: DataFrame, donors: DataFrame, k: int, metric: str = "euclid
     routed_schema = (f"key {q_type}, target int, vec array<double>, block string, mask string, "
                      "pivot int")
 
-    def local_best(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        names = ["q_key", "target", "d_key", "distance", "payload"]
-        if len(q) == 0 or len(d) == 0:
-            return pd.DataFrame({n: [] for n in names})
-        d = d.sort_values("key", kind="stable")
-        x, y = _matrix(q["vec"], width), _matrix(d["vec"], width)
-        q_key, d_key = q["key"].to_numpy(), d["key"].to_numpy()
-        target, payload = q["target"].to_numpy(), d["payload"].to_numpy(dtype="float64")
-        out = []
-        step = max(MATRIX_CELLS // len(y), 1)
-        for s in range(0, len(x), step):
-            dist = _distances(x[s:s + step], y, metric)
-            if exclude_self:
-                dist[q_key[s:s + step][:, None] == d_key[None, :]] = np.nan
-            wanted = target[s:s + step]
-            for t in np.unique(wanted[wanted >= 0]):          # a donor must know what it is asked for
-                dist[np.ix_(wanted == t, np.isnan(y[:, t]))] = np.nan
-            best = np.argsort(dist, axis=1, kind="stable")[:, :k]   # NaN sorts last
-            value = np.take_along_axis(dist, best, axis=1)
-            qi, ri = np.nonzero(~np.isnan(value))
-            di = best[qi, ri]
-            t = target[s:s + step][qi]
-            out.append(pd.DataFrame({
-                "q_key": q_key[s:s + step][qi], "target": t, "d_key": d_key[di],
-                "distance": value[qi, ri],
-                "payload": np.where(t >= 0, y[di, np.maximum(t, 0)], payload[di])}))
-        return pd.concat(out)
-
     def scan(routed: DataFrame) -> DataFrame:
-        routed = materialise(routed, "routed")
-        load = routed.groupBy(*cell).agg(F.count(F.lit(1)).alias("nq"))
-        plan = F.broadcast(materialise(cell_table.join(load, cell).select(   # <= MAX_CELLS rows
-            *cell, F.ceil(F.col("n") / chunk).cast("int").alias("dn"),
-            F.ceil(F.col("nq") / chunk).cast("int").alias("qn")), "plan"))
-        q = (routed.join(plan, cell)
-             .withColumn("qc", F.pmod(F.xxhash64("key", "target"), F.col("qn")).cast("int"))
-             .withColumn("dc", F.explode(F.sequence(F.lit(0), F.col("dn") - 1))))
-        d = (celled.drop("far").join(plan, cell)
-             .withColumn("dc", F.pmod(F.xxhash64("key"), F.col("dn")).cast("int"))
-             .withColumn("qc", F.explode(F.sequence(F.lit(0), F.col("qn") - 1))))
-        keys = [*cell, "dc", "qc"]
-        return (q.drop("dn", "qn").groupBy(*keys).cogroup(d.drop("dn", "qn").groupBy(*keys))
-                .applyInPandas(local_best, out_schema))
+        return scan_cells(materialise(routed, "routed"), celled.drop("far"), cell_table, cell,
+                          chunk_ranker(width, k, metric, exclude_self), out_schema, chunk)
 
     ranked = Window.partitionBy("q_key", "target").orderBy("distance", "d_key")
 
