@@ -6,7 +6,7 @@ Fits that SQL cannot state are checked by row counts here and by score and prope
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.catalog.base import (
@@ -305,6 +305,46 @@ def k6(spark, sf):
         _kept(spark, sf, "mi", {"k": 5}))
 
 
+@query("q_k3_facts", """select 64::integer as features, true as sums_to_one, true as none_negative, true as keeps_those_from_mean
+    from (select count(*) from embeddings)""")
+def k3_facts(spark, sf):
+    """Importances are shares, and the selector keeps exactly the features that reach their mean."""
+    df = materialise(_matrix(spark, sf), "rows")
+    imp = selection.forest_importances(df, trees=20, depth=5)
+    kept = selection.kept_features(selection.build_selector("rf", {"threshold": "mean", "trees": 20, "depth": 5}).fit(df))
+    shares = spark.createDataFrame([(i, float(v), i in kept) for i, v in enumerate(imp)], "i int, v double, kept boolean")
+    mean = shares.agg(F.avg("v").alias("m"))
+    return (shares.crossJoin(F.broadcast(mean)).agg(                       # one row of 64 features' mean
+        F.count(F.lit(1)).cast("int").alias("features"), (F.abs(F.sum("v") - 1) < 1e-9).alias("sums_to_one"),
+        F.bool_and(F.col("v") >= 0).alias("none_negative"),
+        F.bool_and(F.col("kept") == (F.col("v") >= F.col("m") - 1e-15)).alias("keeps_those_from_mean")))
+
+
+@query("q_k4_facts", """with k as (select min(n) as least from (select count(*) as n from embeddings group by label))
+    select (row_number() over (order by width desc))::integer as step, width, least(3, least)::bigint as folds,
+    true as scored from (select unnest([64, 45, 26, 20]) as width), k""")
+def k4_facts(spark, sf):
+    """Every width of the elimination is scored in every fold; the widest of the best is kept."""
+    df = materialise(_matrix(spark, sf), "rows")
+    made = selection.build_selector("rfe", {"min_features_to_select": 20, "step": 0.3, "k": 3, "trees": 5, "depth": 3})
+    kept = selection.kept_features(made.fit(df))
+    scores = spark.createDataFrame(made.scores, "fold int, width int, score double")
+    per = scores.groupBy("width").agg(F.count(F.lit(1)).alias("folds"), F.avg("score").alias("m"),
+                                      F.bool_and((F.col("score") >= 0) & (F.col("score") <= 1)).alias("scored"))
+    best = per.agg(F.min_by("width", F.struct(-F.col("m"), "width")).alias("best"))
+    steps = Window.orderBy(F.desc("width"))                                # one row per visited width
+    return (per.crossJoin(F.broadcast(best)).select(
+        F.row_number().over(steps).alias("step"), "width", "folds",
+        (F.col("scored") & (F.col("best") == len(kept))).alias("scored")))
+
+
+@query("q_k6_facts", """select * from (values ('none', 64::integer, 64::integer, 64::bigint), ('pca', 64, 10, 10), ('mi', 64, 5, 5))
+    v(selector, n_input, n_selected, features)""")
+def k6_facts(spark, sf):
+    """The feature lists are as long as their counts say."""
+    return k6(spark, sf).groupBy("selector", "n_input", "n_selected").agg(F.count_distinct("feature").alias("features"))
+
+
 # ---------------------------------------------------------------- classifiers
 
 def _model_query(name: str, model: str, params: dict, sql: str | None = None):
@@ -395,6 +435,35 @@ def h3(spark, sf):
     return _searched(spark, sf, "optuna", 4)
 
 
+def _search_facts(name: str, kind: str, n_iter: int, trials: int):
+    @query(name, f"""with {MATRIX_SPLIT} select '{kind}' as kind, {trials}::bigint as trials, {trials}::bigint as distinct_sets,
+      3::integer as folds, true as best_is_highest_mean, true as means_of_folds, count(*) as rows_refitted
+      from sp where split = 'train'""")
+    def run(spark, sf):
+        """Distinct candidates, each scored on every fold; the best is the first of the highest mean."""
+        p = _prepared(spark, sf)
+        train = p.data.where("split = 'train'")
+        found = search.candidates("Naive Bayes", "none", space={"var_smoothing": [1e-9, 1e-4, 1e-2, 1.0, 10.0]})
+        result = search.run_search(kind, "Naive Bayes_none", train, lambda q: search.create_pipeline(
+            "Naive Bayes", "none", q), found, n_iter, search.SearchSettings(folds=3))
+        table = materialise(result.table(spark), "trials")
+        answered = result.model.transform(train).where(F.col("prediction").isNotNull())
+        mean = F.aggregate("fold_scores", F.lit(0.0), lambda a, b: a + b) / F.size("fold_scores")
+        return table.agg(
+            F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("trials"),
+            F.count_distinct(F.array_sort(F.map_entries("params"))).alias("distinct_sets"),
+            F.max(F.size("fold_scores")).alias("folds"),
+            (F.abs(F.max("mean_score") - result.best_score) < 1e-12).alias("best_is_highest_mean"),
+            F.bool_and(F.abs(mean - F.col("mean_score")) < 1e-12).alias("means_of_folds"),
+            F.lit(answered.count()).alias("rows_refitted"))
+    return run
+
+
+_search_facts("q_h1_facts", "grid", 3, 5)                # every candidate, whatever n_iter says
+_search_facts("q_h2_facts", "random", 3, 3)
+_search_facts("q_h3_facts", "optuna", 4, 4)
+
+
 _NB_SPLIT = f"""{MATRIX_SPLIT},
   u as (select vec_id, split, label, unnest(embedding)::double as x, unnest(range(0, 64)) as j from sp),
   t as (select * from u where split = 'train'),
@@ -416,6 +485,21 @@ def h9(spark, sf):
     return out(jobs.evaluate_model(model, p.data, "Naive Bayes_none", with_val=True))
 
 
+@query("q_h5_model_probabilities", f"""with {_NB_SPLIT},
+  e as (select *, exp(score - max(score) over (partition by vec_id)) as e from ll),
+  pr as (select vec_id, split, label, c, e / sum(e) over (partition by vec_id) as p,
+    first_value(c) over (partition by vec_id order by score desc, c) as best from e)
+  select vec_id as row_id, split, label, c::integer as class, best::double as prediction, round(p, 5) as p from pr""")
+def h5_model(spark, sf):
+    """Prediction and the probability of every class, from the fitted naive Bayes stage."""
+    p = _prepared(spark, sf)
+    model = search.create_pipeline("Naive Bayes").fit(p.data.where("split = 'train'"))
+    done = model.transform(p.data)
+    return out(done.select("row_id", "split", "label", "prediction",
+                           F.posexplode(vector_to_array("probability")).alias("class", "p")),
+               "row_id", "split", "label", "class", "prediction", "p", digits=5)
+
+
 _FAST = {"Naive Bayes": {"var_smoothing": [1e-4]}, "Decision Tree": {"max_depth": [5]},
          "Logistic Regression": {"C": [1.0], "max_iter": [30]},
          "Random Forest": {"n_estimators": [10], "max_depth": [5]}}
@@ -459,6 +543,41 @@ def h12(spark, sf):
     return done.select("row_id", "label", "prediction", F.size(vector_to_array("selected")).alias("width"))
 
 
+@query("q_h12_facts", f"""with {MATRIX_SPLIT} select split, label, count(*) as support, 10::integer as width,
+    true as same_as_by_hand from sp where split = 'test' group by all""")
+def h12_facts(spark, sf):
+    """The pipeline answers as its selector and classifier fitted one after the other."""
+    p = _prepared(spark, sf)
+    train, test = p.data.where("split = 'train'"), p.data.where("split = 'test'")
+    whole = search.create_pipeline("Naive Bayes", "mi", {"selector__k": 10}).fit(train).transform(test)
+    chosen = selection.build_selector("mi", {"k": 10}).fit(train)
+    last = Classifier("Naive Bayes", {}, "selected").fit(chosen.transform(train))
+    parts = last.transform(chosen.transform(test)).select("row_id", F.col("prediction").alias("by_hand"))
+    return whole.join(parts, "row_id").groupBy("split", "label").agg(
+        F.count(F.lit(1)).alias("support"), F.max(F.size(vector_to_array("selected"))).alias("width"),
+        F.bool_and(F.col("prediction") == F.col("by_hand")).alias("same_as_by_hand"))
+
+
+@query("q_v4_facts", f"""with {MATRIX_SPLIT} select split, label, count(*) as support, true as is_mean_of_members
+    from sp group by all""")
+def v4_facts(spark, sf):
+    """The refitted ensemble's probabilities are the means of its members'."""
+    p = _prepared(spark, sf)
+    train = p.data.where("split = 'train'")
+    models = {m: search.create_pipeline(m.split("_")[0], "none", q).fit(train) for m, q in
+              {"Naive Bayes_none": {"classifier__var_smoothing": 1e-4}, "Decision Tree_none": {"classifier__max_depth": 4},
+               "Logistic Regression_none": {"classifier__C": 1.0, "classifier__max_iter": 20}}.items()}
+    vote = jobs.build_voting(models, list(models), "soft", 10).transform(p.data).select(
+        "row_id", "split", "label", "prediction", vector_to_array("probability").alias("vote"))
+    for i, m in enumerate(models.values()):
+        vote = vote.join(m.transform(p.data).select("row_id", vector_to_array("probability").alias(f"p{i}")), "row_id")
+    mean = F.transform(F.arrays_zip("vote", "p0", "p1", "p2"),
+                       lambda x: F.abs((x["p0"] + x["p1"] + x["p2"]) / 3 - x["vote"]) < 1e-9)
+    top = F.get("vote", F.col("prediction").cast("int")) >= F.array_max("vote") - 1e-12
+    return vote.groupBy("split", "label").agg(F.count(F.lit(1)).alias("support"),
+                                              F.bool_and(F.forall(mean, lambda x: x) & top).alias("is_mean_of_members"))
+
+
 @query("q_v4_ensemble_evaluated")
 def v4(spark, sf):
     """Three members refitted, their soft vote evaluated, and its cross-validated score."""

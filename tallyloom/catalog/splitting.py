@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.catalog.base import log_cte, log_view, out, query, table
 from tallyloom.functions.expr import rounded
+from tallyloom.functions.scale import materialise
 from tallyloom.operators import neighbors, prep, split
 
 
@@ -513,6 +515,33 @@ def m6_distance(spark, sf):
     return neighbors.predict_by_vote(neighbors.vote(near, "distance"))
 
 
+def _recalled(found, exact) -> DataFrame:
+    """Queries that got their neighbours, and whether 0.9 of the true ones are among them."""
+    exact, found = materialise(exact, "exact"), materialise(found, "found")
+    hit = exact.join(found.select("q_key", "d_key"), ["q_key", "d_key"], "left_semi")
+    hits = hit.agg(F.count(F.lit(1)).alias("hits"))
+    return (found.agg(F.count_distinct("q_key").alias("queries"), F.count(F.lit(1)).alias("found"))
+            .crossJoin(hits).crossJoin(exact.agg(F.count(F.lit(1)).alias("true")))      # one row each
+            .select("queries", "found", (F.col("hits") >= 0.9 * F.col("true")).alias("recall_reached")))
+
+
+@query("q_j7_approximate_recall", f"""with {_SAME_CLASS} select count(distinct q_key) as queries, count(*) as found,
+    true as recall_reached from near""")
+def j7_approximate(spark, sf):
+    df = table(spark, sf, "embeddings")
+    args = ("vec_id", "embedding", "label", 5)
+    return _recalled(neighbors.same_class_neighbors(df, *args, recall=0.9, leaf=32),
+                     neighbors.same_class_neighbors(df, *args))
+
+
+@query("q_j8_approximate_recall", f"""with {_CROSS} select count(distinct q_key) as queries, count(*) as found,
+    true as recall_reached from near""")
+def j8_approximate(spark, sf):
+    train, test = _train_test(spark, sf)
+    args = (test, train, "vec_id", "embedding", "label", 5)
+    return _recalled(neighbors.cross_neighbors(*args, recall=0.9, leaf=32), neighbors.cross_neighbors(*args))
+
+
 def _wanted(strategy):
     case = {"auto": "case when c <> big then top else n end", "minority": "case when c = small then top else n end",
             "not minority": "case when c <> small then top else n end", "all": "top",
