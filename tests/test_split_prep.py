@@ -178,3 +178,44 @@ def test_more_patterns_than_cells(spark):
                 for r in neighbors.nearest(asked, side, 3, **kw).collect()}
     many, few = found(chunk=8), found(chunk=8, max_cells=30)
     assert many == few and all(v[2] is not None for v in few.values()) and len(few) > 100
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_vectors_without_structure_are_scanned_in_large_chunks(spark, metric, monkeypatch):
+    """Cells rule out nothing here: no query is sent to cells, and the answers are those of a full comparison."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(700, 24)).round(2)
+    x[600:640] = x[:40]                                  # copies: ties go to the smaller key
+    x[650, 3], x[651, 0] = np.nan, 1e20                  # rows that the bounds cannot hold
+    rows = [(i, [None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)]
+    side = spark.createDataFrame(rows, "key long, vec array<double>").selectExpr(
+        "key", "if(key % 7 = 0, 'a', 'b') as block", "-1 as target", "double(key) as payload", "vec")
+    written = []
+    store = neighbors.materialise
+    monkeypatch.setattr(neighbors, "materialise", lambda df, name="table": (written.append(name), store(df, name))[1])
+    monkeypatch.setattr(neighbors, "SCAN_BYTES", 1 << 12)
+    got = {}
+    for r in neighbors.nearest(side, side, 4, metric, exclude_self=True, chunk=32).orderBy("q_key", "rank").collect():
+        assert r["payload"] == r["d_key"]
+        got.setdefault(r["q_key"], []).append((r["d_key"], r["distance"]))
+    assert "routed" not in written
+    want_d = neighbors._distances(x, x, metric)
+    for i in range(700):
+        d = np.where((np.arange(700) % 7 == 0) == (i % 7 == 0), want_d[i], np.nan)
+        d[i] = np.nan
+        order = [j for j in np.lexsort((np.arange(700), d)) if not np.isnan(d[j])][:4]
+        assert got[i] == [(j, d[j]) for j in order]
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_tiles_keep_every_donor_within_reach(metric):
+    """Offsets, equal distances and fewer donors than asked, against the comparison of all pairs."""
+    import pandas as pd
+    rng = np.random.default_rng(8)
+    for m, n, k, make in ((300, 5000, 5, lambda s: rng.integers(0, 3, s)), (70, 4, 6, lambda s: rng.normal(size=s)),
+                          (40, 4500, 3, lambda s: 1e7 + rng.normal(size=s)), (5, 20, 2, lambda s: np.zeros(s))):
+        q, d = (pd.DataFrame({"key": np.arange(r), "target": -1, "payload": np.arange(r) * 2.0,
+                              "vec": list(make((r, 9)).astype(float))}) for r in (m, n))
+        one, all_ = (f(9, k, metric, True)(q, d).sort_values(["q_key", "distance", "d_key"]).reset_index(drop=True)
+                     for f in (neighbors.tile_ranker, neighbors.chunk_ranker))
+        pd.testing.assert_frame_equal(one, all_, check_dtype=False, check_exact=True)
