@@ -85,3 +85,23 @@ def test_edges(spark):
         neighbors.nearest(both, both, 3, recall=1.5)
     with pytest.raises(ValueError, match="leaf"):
         neighbors.nearest(both, both, 3, leaf=10)
+
+
+def test_buckets_that_cost_more_than_a_scan_are_not_followed(spark, monkeypatch):
+    """Vectors without structure: calibration stops at the affordable probes, and the answer is the exact one."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(3000, 32)))]
+    side = _side(spark.createDataFrame(rows, "key long, vec array<double>"), "key", "vec", None, None)
+    forest = approximate.grow(side, leaf=16)
+    assert forest.affordable < forest.most
+    leaves = forest.leaves(side).cache()
+    assert approximate.probes_for(forest, side, side, leaves, 5, "euclidean", True, 0.9, most=forest.affordable) is None
+    written = []
+    store = approximate.materialise
+    monkeypatch.setattr(approximate, "materialise", lambda df, name="table": (written.append(name), store(df, name))[1])
+    got = neighbors.nearest(side, side, 5, exclude_self=True, recall=0.9, leaf=16)
+    assert "routed" not in written
+    assert _share(got, neighbors.nearest(side, side, 5, exclude_self=True)) == 1.0
+    structured = _side(_clouds(spark, 3000), "key", "vec", None, None)
+    neighbors.nearest(structured, structured, 5, exclude_self=True, recall=0.9, leaf=64)
+    assert "routed" in written
