@@ -25,6 +25,26 @@ def test_sparse_vectors_equal_dense_ones(spark):
         made.sparse_vectors(bad, "k").collect()
 
 
+def test_rows_of_narrow_columns_are_not_shuffled(spark, monkeypatch):
+    """All rows of a frequent value would meet in one task; wide columns alone are joined by shuffle."""
+    df = spark.range(3000).selectExpr("id as k", "concat('w', id % 900) as wide", "if(id % 10 = 0, 'rare', 'usual') as narrow")
+    monkeypatch.setattr(prep, "BROADCAST_ROWS", 100)
+    enc = prep.DataEncoder(nominal=["wide", "narrow"]).fit(df)
+    got = {(r["key"], r["index"]) for r in enc.sparse(df, "k").collect()}
+    codes = {v: i for i, v in enumerate(sorted({f"w{i}" for i in range(900)}))}
+    want = {(i, codes[f"w{i % 900}"] - 1) for i in range(3000) if codes[f"w{i % 900}"]}
+    assert got == want | {(i, 899) for i in range(3000) if i % 10}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = enc.sparse(df, "k")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 1
+        plan = prep.DataEncoder(nominal=["narrow"]).fit(df).sparse(df, "k")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_a_model_on_a_hundred_thousand_categories(spark):
     df = spark.range(150_000).selectExpr(
         "id as id_log", "id % 500 as x", "concat('c', id % 119000) as wide", "if(id % 119000 < 60000, 'low', 'high') as target")
