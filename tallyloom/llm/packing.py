@@ -4,8 +4,8 @@
    gets a size class: its length up to ``FINE`` tokens, beyond that its length rounded up to ``GRAIN`` tokens.
 2. The histogram of classes, at most FINE + capacity / GRAIN numbers, is all the driver sees. A linear program over
    patterns (how many pieces of each class share a sequence) is solved by column generation: a knapsack
-   dynamic program prices new patterns with the current duals until none improves. Patterns are
-   rounded down; what is left over is packed by filling one pattern at a time with the largest classes.
+   dynamic program prices new patterns with the current duals until none improves; the first patterns are
+   filled with the largest classes left, which is near the optimum. Patterns are rounded down; what is left over is packed by filling one pattern at a time with the largest classes.
 3. Pieces are ranked inside their class (sliced ranks, no class in one task); every pattern owns a
    stretch of ranks of each class, so the rank names the sequence without any pairing of rows. Offsets
    are running sums inside one sequence (at most ``capacity`` pieces).
@@ -204,12 +204,32 @@ def best_pattern(value: np.ndarray, size: np.ndarray, capacity: int) -> tuple[fl
     return float(best[capacity]), pattern
 
 
+def first_patterns(size: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(patterns as columns, how often each is used): filled with the largest classes left until one of them runs out.
+
+    A class that has run out is in no later pattern, so the columns are independent.
+    """
+    m = len(size)
+    basis, amount, left, open_ = np.zeros((m, m)), np.zeros(m), demand.astype(float), np.ones(m, bool)
+    for _ in range(m):
+        pattern, room = np.zeros(m), capacity
+        for k in np.flatnonzero(open_)[::-1]:
+            pattern[k] = room // size[k]
+            room -= int(pattern[k]) * int(size[k])
+        used = np.flatnonzero(pattern)
+        times = left[used] / pattern[used]
+        out = int(used[times.argmin()])
+        basis[:, out], amount[out] = pattern, times.min()
+        left = np.maximum(left - times.min() * pattern, 0.0)
+        open_[out] = False
+    return basis, amount
+
+
 def fractional_patterns(size: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(patterns as columns, how often each is used, dual price of a piece of each class), optimal among
-    all patterns once no pattern is worth more than 1 at the prices."""
-    basis = np.diag(capacity // size).astype(float)
-    inverse = np.diag(1.0 / (capacity // size))
-    amount = inverse @ demand
+    all patterns once no pattern is worth more than 1 at the prices. ``size`` ascends."""
+    basis, amount = first_patterns(size, demand, capacity)
+    inverse = np.linalg.inv(basis)
     for _ in range(MAX_ROUNDS):
         worth, pattern = best_pattern(np.maximum(inverse.sum(axis=0), 0.0), size, capacity)
         if worth <= 1.0 + 1e-9:

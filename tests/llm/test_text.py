@@ -154,6 +154,23 @@ def test_column_generation():
     assert packing.solve_patterns(np.zeros(0, int), np.zeros(0), 64) == []
 
 
+def test_column_generation_starts_near_the_optimum(monkeypatch):
+    """As many pieces of every class, as in a large corpus: a few rounds per class suffice."""
+    rng = np.random.default_rng(5)
+    size = np.array([*range(1, 33), *range(36, 257, 4)])
+    demand = rng.integers(50, 400, len(size)).astype(float)
+    rounds, price_patterns = [], packing.best_pattern
+
+    def counted(*args):
+        rounds.append(1)
+        return price_patterns(*args)
+    monkeypatch.setattr(packing, "best_pattern", counted)
+    plan = packing.solve_patterns(size, demand, 256)
+    assert (sum(t * p for t, p in plan) == demand).all() and all((size * p).sum() <= 256 for _, p in plan)
+    assert sum(t for t, _ in plan) <= (size * demand).sum() / 256 + 2
+    assert len(rounds) <= 4 * len(size)
+
+
 def test_knapsack_is_best():
     rng = np.random.default_rng(1)
     for _ in range(30):
