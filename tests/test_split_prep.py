@@ -115,6 +115,20 @@ def test_neighbors_with_a_hot_block_of_copies(spark, metric, options):
         assert got[i] == want
 
 
+def test_equal_vectors_of_a_class_are_searched_for_once(spark, monkeypatch):
+    rows = [(i, [float(i % 5), float(i % 2)], i % 3) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, v array<double>, y int")
+    searched, search = [], neighbors._nearest
+    monkeypatch.setattr(neighbors, "_nearest", lambda q, n, *a: searched.append(n) or search(q, n, *a))
+    got = {}
+    for r in neighbors.same_class_neighbors(df, "k", "v", "y", 4).orderBy("q_key", "rank").collect():
+        got.setdefault(r["q_key"], []).append((r["d_key"], r["distance"]))
+    assert searched == [30]
+    for k, v, y in rows:
+        same = [i for i, w, c in rows if c == y and w == v and i != k]
+        assert got[k] == [(i, 0.0) for i in same[:4]]
+
+
 def test_oversampling(spark):
     rng = np.random.default_rng(4)
     sizes = {0: 40, 1: 12, 2: 3}
