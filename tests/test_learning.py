@@ -253,3 +253,17 @@ def test_programs_share_one_group_safe_split(spark):
     assert p.data.where("split <> 'train' and fold <> -1").isEmpty()
     r = jobs.execute_all_stages(p, s)
     assert [x["Model"] for x in r.summary.collect()] == ["Naive Bayes_none"]
+
+
+def test_cleaned_rows_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def labelled(i):
+        seen.add(1)
+        return "ab"[i % 2]
+    rows = spark.range(0, 80, 1, 2).select(F.col("id").alias("id_log"), (F.col("id") % 40).alias("aluno"),
+                                           (F.col("id") % 13).cast("double").alias("x"), labelled("id").alias("comportamento"))
+    made = jobs.prepare(rows, jobs.Settings(folds=2, numerical_strategy="mean"))
+    assert made.data.count() == 80 and made.classes == ["a", "b"]
+    assert seen.value == 80
